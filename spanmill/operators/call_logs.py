@@ -48,6 +48,12 @@ def _string(doc: Column, path: str, default: str) -> Column:
     return F.when(_truthy(doc, path), F.try_variant_get(doc, path, "string")).otherwise(default)
 
 
+def _stringified(doc: Column, body: str, path: str) -> Column:
+    """Compact JSON of a value. A VARIANT would sort the keys of objects, the text keeps them."""
+    nested = _kind(doc, path).startswith("ARRAY") | _kind(doc, path).startswith("OBJECT")
+    return F.when(nested, F.get_json_object(body, path)).otherwise(F.to_json(_variant(doc, path)))
+
+
 def _tokens(doc: Column, path: str) -> Column:
     return F.try_variant_get(doc, path, "double").try_cast("int")
 
@@ -68,8 +74,8 @@ def _with_docs(calls: DataFrame) -> DataFrame:
 
 
 def _openai(req: Column, res: Column) -> dict[str, Column]:
-    messages = F.when(_truthy(req, "$.messages"), F.to_json(_variant(req, "$.messages")))
-    prompt = F.when(_truthy(req, "$.prompt"), F.to_json(_variant(req, "$.prompt")))
+    messages = F.when(_truthy(req, "$.messages"), _stringified(req, "request_body", "$.messages"))
+    prompt = F.when(_truthy(req, "$.prompt"), _stringified(req, "request_body", "$.prompt"))
     return {
         "model": _string(req, "$.model", "unknown"),
         "input": F.coalesce(messages, prompt, F.lit('""')),
@@ -111,9 +117,9 @@ def _generic(req: Column, res: Column) -> dict[str, Column]:
     missing = F.lit(None).cast("int")
     return {
         "model": F.lit("unknown"),
-        "input": F.to_json(req),
+        "input": _stringified(req, "request_body", "$"),
         "is_streaming": _truthy(req, "$.stream"),
-        "output": F.to_json(res),
+        "output": _stringified(res, "response_body", "$"),
         "input_tokens": missing,
         "output_tokens": missing,
     }

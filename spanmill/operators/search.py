@@ -60,6 +60,11 @@ def search_total(spans: DataFrame, query: str, project_id: str | None = None) ->
     return matching_spans(spans, query, project_id).agg(F.count("*").alias("total"))
 
 
+def _hits(words: Column, term: str) -> Column:
+    near = F.filter(words, lambda w: within_edits(w, term))
+    return F.transform(near, lambda w: F.struct(F.lit(term).alias("term"), w.alias("word")))
+
+
 def matched_terms(spans: DataFrame, query: str, project_id: str | None = None) -> DataFrame:
     """Distinct indexed terms near each query term, with the spans that hold them."""
     rows = time_slice(spans, project_id)
@@ -72,10 +77,7 @@ def matched_terms(spans: DataFrame, query: str, project_id: str | None = None) -
     # Filter inside the row, so only hits are exploded and shuffled.
     found = None
     for term in query_terms(query):
-        hits = F.transform(
-            F.filter(words, lambda w, term=term: within_edits(w, term)),
-            lambda w, term=term: F.struct(F.lit(term).alias("term"), w.alias("word")),
-        )
+        hits = _hits(words, term)
         found = hits if found is None else F.concat(found, hits)
     return (
         rows.select(F.explode(found).alias("_h"))

@@ -120,7 +120,8 @@ def list_traces(
 def encode_cursor(started_at: Column, trace_id: Column) -> Column:
     stamp = F.date_format(started_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     payload = F.to_json(F.struct(stamp.alias("startedAt"), trace_id.alias("id")))
-    return F.base64(payload.cast("binary"))
+    # Spark breaks base64 into lines.
+    return F.regexp_replace(F.base64(payload.cast("binary")), r"\s", "")
 
 
 def decode_cursor(cursor: str) -> tuple[str, str]:

@@ -30,14 +30,12 @@ def trace_tree(spans: DataFrame, max_doublings: int = MAX_DOUBLINGS) -> DataFram
     and are dropped, as they hang on no root.
     """
     links = spans.select("trace_id", "span_id", "parent_span_id", _step().alias("_step"))
-    ids = links.select("trace_id", F.col("span_id").alias("_known"))
+    parents = links.select(
+        "trace_id", F.col("span_id").alias("parent_span_id"), F.col("span_id").alias("_known")
+    )
     state = cut_lineage(
-        links.join(
-            ids,
-            (links["trace_id"] == ids["trace_id"]) & (links["parent_span_id"] == ids["_known"]),
-            "left",
-        ).select(
-            links["trace_id"],
+        links.join(parents, ["trace_id", "parent_span_id"], "left").select(
+            "trace_id",
             "span_id",
             # The ancestor reached so far, and the steps below it.
             F.coalesce("_known", "span_id").alias("up"),

@@ -359,7 +359,7 @@ def _(spark, sf):
     "span_latency",
     "raw_spans",
     """SELECT span_id, CAST(CASE WHEN latency_ms IS NOT NULL THEN latency_ms
-      ELSE 250 + epoch_ms(started_at + INTERVAL 250 MILLISECOND) - 250 - epoch_ms(started_at) END AS INT)
+      ELSE epoch_us(started_at + INTERVAL 250 MILLISECOND) // 1000 - epoch_us(started_at) // 1000 END AS INT)
       AS latency_ms FROM raw_spans""",
 )
 def _(spark, sf):
@@ -439,7 +439,7 @@ def _(spark, sf):
     f"""SELECT span_id, CASE WHEN ms < 10000 THEN 'just now' WHEN ms < 60000 THEN (ms // 1000) || 's ago'
       WHEN ms < 3600000 THEN (ms // 60000) || 'm ago' WHEN ms < 86400000 THEN (ms // 3600000) || 'h ago'
       ELSE (ms // 86400000) || 'd ago' END AS time_ago
-    FROM (SELECT span_id, epoch_ms(TIMESTAMP '{d.AS_OF}') - epoch_ms(started_at) AS ms FROM spans)""",
+    FROM (SELECT span_id, epoch_us(TIMESTAMP '{d.AS_OF}') // 1000 - epoch_us(started_at) // 1000 AS ms FROM spans)""",
 )
 def _(spark, sf):
     as_of = F.lit(d.AS_OF).cast("timestamp")

@@ -207,6 +207,9 @@ def cooldown_micro_batch(
         .select("alert_id", "project_id", "type", "tick", "value", "threshold")
     )
     first = breaches.agg(F.min("tick")).first()[0]
+    if first is None:
+        write_batch(breaches, root, batch_id)
+        return
     stored = _firings_before(metrics.sparkSession, root, batch_id, breaches)
     # Only firings that can still silence one of these breaches.
     since = F.lit(first) - F.make_dt_interval(mins=F.lit(minutes))
