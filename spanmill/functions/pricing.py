@@ -156,8 +156,7 @@ def _price_rows(spark: SparkSession, rows: list[tuple[str, str, float, float]])
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(_provider, _model, _in, _out)")
 
 
-def _lookup(df: DataFrame, rows, provider: Column, model: Column, tag: str) -> DataFrame:
-    prices = _price_rows(df.sparkSession, rows)
+def _lookup(df: DataFrame, prices: DataFrame, provider: Column, model: Column, tag: str) -> DataFrame:
     prices = prices.select(
         F.col("_provider").alias(f"_{tag}_provider"),
         F.col("_model").alias(f"_{tag}_model"),
@@ -177,12 +176,13 @@ def price_lookup(df: DataFrame) -> DataFrame:
     Lower-cased names are matched exactly, then without a ``-YYYY-MM-DD`` suffix,
     then by the provider's wildcard. Null means the model is not priced.
     """
-    listed = [
+    rows = [
         (provider, model, *price)
         for provider, models in INGEST_PRICES.items()
         for model, price in models.items()
         if model != "*"
     ]
+    listed = _price_rows(df.sparkSession, rows)
     free = F.lit(None).cast("struct<input:double,output:double>")
     for provider, models in INGEST_PRICES.items():
         if "*" in models:
@@ -198,11 +198,8 @@ def price_lookup(df: DataFrame) -> DataFrame:
     out = _lookup(df, listed, provider, model, "exact")
     out = _lookup(out, listed, provider, stripped, "base")
     price = F.coalesce("_exact", "_base", F.when(model.isNotNull(), free))
-    return (
-        out.withColumn("_price", price)
-        .withColumn("price_in", F.col("_price.input"))
-        .withColumn("price_out", F.col("_price.output"))
-        .drop("_exact", "_base", "_price")
+    return out.select(
+        *df.columns, price["input"].alias("price_in"), price["output"].alias("price_out")
     )
 
 
@@ -220,7 +217,7 @@ def compute_cost(df: DataFrame, reported: str = "cost_usd", out: str = "cost_usd
 
 
 def _single_list_cost(df: DataFrame, prices: dict, suffix: str | None, out: str) -> DataFrame:
-    rows = [("", model, *price) for model, price in prices.items()]
+    rows = _price_rows(df.sparkSession, [("", m, *price) for m, price in prices.items()])
     priced = _lookup(df, rows, F.lit(""), F.col("model"), "exact")
     price = F.col("_exact")
     if suffix is not None:

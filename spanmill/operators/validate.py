@@ -28,11 +28,11 @@ MAX_INT = 2_147_483_647
 
 
 def _field(span: Column, name: str) -> Column:
-    return F.try_variant_get(span, f"$.{name}", "variant")
+    return span[name]
 
 
 def _text(span: Column, name: str) -> Column:
-    return F.try_variant_get(span, f"$.{name}", "string")
+    return F.try_variant_get(span[name], "$", "string")
 
 
 def _kind(span: Column, name: str) -> Column:
@@ -40,7 +40,7 @@ def _kind(span: Column, name: str) -> Column:
 
 
 def _number(span: Column, name: str) -> Column:
-    return F.try_variant_get(span, f"$.{name}", "double")
+    return F.try_variant_get(span[name], "$", "double")
 
 
 def _is_number(span: Column, name: str) -> Column:
@@ -94,7 +94,7 @@ def _checks(span: Column, edge: bool, allow_offset: bool) -> list[tuple[str, Col
 
 
 def failed_checks(span: Column, edge: bool = False, allow_offset: bool = False) -> Column:
-    """Names of the wire fields of a VARIANT span that break a rule."""
+    """Names of the wire fields of a raw span that break a rule."""
     named = [
         F.when(~F.coalesce(ok, F.lit(False)), F.lit(name))
         for name, ok in _checks(span, edge, allow_offset)
@@ -103,7 +103,7 @@ def failed_checks(span: Column, edge: bool = False, allow_offset: bool = False)
 
 
 def span_columns(span: Column, edge: bool = False) -> list[Column]:
-    """Typed columns of a valid VARIANT span."""
+    """Typed columns of a valid raw span."""
     integer = lambda name: _number(span, name).try_cast("int")
     agent = F.lit(None).cast("string") if edge else _text(span, "agentName")
     return [
@@ -137,7 +137,8 @@ def check_spans(raw: DataFrame, allow_offset: bool = False) -> DataFrame:
 def validate_spans(raw: DataFrame, allow_offset: bool = False) -> tuple[DataFrame, DataFrame]:
     """Split raw spans into typed valid rows and rejects with their reasons.
 
-    Input has a VARIANT column ``span``; all other columns are carried along.
+    Input has a column ``span`` as ``explode_spans`` makes it; other columns are
+    carried along.
     """
     checked = check_spans(raw, allow_offset)
     carried = [c for c in raw.columns if c != "span"]

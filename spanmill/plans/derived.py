@@ -42,73 +42,47 @@ def _case(value: Column, branches: dict, default=None) -> Column:
     return picked.otherwise(default)
 
 
+_ROOT_NAME = """CASE (event_id - event_id % 4) % 20 WHEN 0 THEN 'support-agent' WHEN 4 THEN 'review-agent'
+  WHEN 8 THEN 'extract-agent' WHEN 12 THEN 'email-agent' ELSE 'planner' END"""
+_EVENT_COLUMNS = (
+    "concat('sp-', event_id) AS span_id",
+    "concat('tr-', event_id - event_id % 4) AS trace_id",
+    """CASE event_id % 4 WHEN 0 THEN NULL WHEN 2 THEN concat('sp-', event_id - 1)
+      ELSE concat('sp-', event_id - event_id % 4) END AS parent_span_id""",
+    "CASE (event_id - event_id % 4) % 12 WHEN 0 THEN 'p0' WHEN 4 THEN 'p1' ELSE 'p2' END AS project_id",
+    f"""CASE event_id % 4 WHEN 0 THEN {_ROOT_NAME} WHEN 1 THEN 'retrieve-context'
+      WHEN 2 THEN 'generate-response' ELSE 'validate-output' END AS name""",
+    """CASE WHEN event_id % 4 <> 1 THEN CASE event_id % 7 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'GPT-4o-mini'
+      WHEN 2 THEN 'claude-3-haiku-20240307' WHEN 3 THEN 'gpt-4o-2099-01-01' WHEN 4 THEN 'llama3'
+      WHEN 5 THEN 'gpt-99-unknown' ELSE 'gemini-1.5-pro' END END AS model""",
+    """CASE WHEN event_id % 4 <> 1 THEN CASE event_id % 7 WHEN 2 THEN 'anthropic' WHEN 4 THEN 'ollama'
+      WHEN 6 THEN 'google' ELSE 'openai' END END AS provider""",
+    "CAST(NULL AS STRING) AS input",
+    "CAST(NULL AS STRING) AS output",
+    f"CASE WHEN event_id % 19 <> 0 THEN {_ROOT_NAME} END AS agent_name",
+    "CASE WHEN event_id % 4 <> 1 THEN CAST(200 + (event_id * 37) % 1800 AS INT) END AS input_tokens",
+    """CASE WHEN event_id % 4 <> 1 AND event_type <> 'error' THEN CAST(50 + (event_id * 53) % 750 AS INT)
+      END AS output_tokens""",
+    "CASE WHEN event_id % 17 <> 0 THEN CAST(floor(value * 40D) AS INT) END AS latency_ms",
+    "CASE WHEN event_id % 23 = 0 THEN 0.042D END AS cost_usd",
+    """CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'signup' AND value > 100 THEN 'timeout'
+      ELSE 'success' END AS status""",
+    """CASE WHEN event_type = 'error' AND event_id % 13 <> 0 THEN CASE event_id % 5
+      WHEN 0 THEN 'Rate limit exceeded' WHEN 1 THEN 'Context length exceeded'
+      WHEN 2 THEN concat('Connection timeout after ', 1000 * (1 + event_id % 3), 'ms')
+      WHEN 3 THEN 'Invalid API key provided' ELSE 'Model overloaded' END END AS error_message""",
+    "props AS metadata",
+    "CAST(ts AS TIMESTAMP) AS started_at",
+    """timestamp_micros(unix_micros(CAST(ts AS TIMESTAMP))
+      + CASE WHEN event_id % 17 <> 0 THEN CAST(floor(value * 40D) AS BIGINT) END * 1000) AS ended_at""",
+    "CASE WHEN event_id % 4 = 0 THEN concat('s-', user_id) END AS session_id",
+    "event_id AS arrival_seq",
+)
+
+
 def events_as_spans(events: DataFrame) -> DataFrame:
     """Spans of the events; ``cost_usd`` is the reported cost. Works on a stream too."""
-    n = F.col("event_id")
-    g, r = n - n % 4, n % 4
-    sp = lambda e: F.concat(F.lit("sp-"), e.cast("string"))
-    root_name = _case(
-        g % 20, {0: "support-agent", 4: "review-agent", 8: "extract-agent", 12: "email-agent"}, "planner"
-    )
-    tool = r == 1
-    is_error = F.col("event_type") == "error"
-    latency = F.when(n % 17 != 0, F.floor(F.col("value") * 40.0).cast("int"))
-    started = F.col("ts").cast("timestamp")
-    model = _case(
-        n % 7,
-        {
-            0: "gpt-4o",
-            1: "GPT-4o-mini",
-            2: "claude-3-haiku-20240307",
-            3: "gpt-4o-2099-01-01",
-            4: "llama3",
-            5: "gpt-99-unknown",
-        },
-        "gemini-1.5-pro",
-    )
-    provider = _case(n % 7, {2: "anthropic", 4: "ollama", 6: "google"}, "openai")
-    message = _case(
-        n % 5,
-        {
-            0: "Rate limit exceeded",
-            1: "Context length exceeded",
-            2: F.concat(
-                F.lit("Connection timeout after "), (1000 * (1 + n % 3)).cast("string"), F.lit("ms")
-            ),
-            3: "Invalid API key provided",
-        },
-        "Model overloaded",
-    )
-    return events.select(
-        sp(n).alias("span_id"),
-        F.concat(F.lit("tr-"), g.cast("string")).alias("trace_id"),
-        F.when(r == 2, sp(n - 1)).when(r != 0, sp(g)).alias("parent_span_id"),
-        _case(g % 12, {0: "p0", 4: "p1"}, "p2").alias("project_id"),
-        F.when(r == 0, root_name)
-        .when(r == 1, "retrieve-context")
-        .when(r == 2, "generate-response")
-        .otherwise("validate-output")
-        .alias("name"),
-        F.when(~tool, model).alias("model"),
-        F.when(~tool, provider).alias("provider"),
-        F.lit(None).cast("string").alias("input"),
-        F.lit(None).cast("string").alias("output"),
-        F.when(n % 19 != 0, root_name).alias("agent_name"),
-        F.when(~tool, (200 + (n * 37) % 1800).cast("int")).alias("input_tokens"),
-        F.when(~tool & ~is_error, (50 + (n * 53) % 750).cast("int")).alias("output_tokens"),
-        latency.alias("latency_ms"),
-        F.when(n % 23 == 0, F.lit(0.042)).alias("cost_usd"),
-        F.when(is_error, "error")
-        .when((F.col("event_type") == "signup") & (F.col("value") > 100), "timeout")
-        .otherwise("success")
-        .alias("status"),
-        F.when(is_error & (n % 13 != 0), message).alias("error_message"),
-        F.col("props").alias("metadata"),
-        started.alias("started_at"),
-        F.timestamp_micros(F.unix_micros(started) + latency.cast("bigint") * 1000).alias("ended_at"),
-        F.when(r == 0, F.concat(F.lit("s-"), F.col("user_id").cast("string"))).alias("session_id"),
-        n.alias("arrival_seq"),
-    )
+    return events.selectExpr(*_EVENT_COLUMNS)
 
 
 SQL_RAW_SPANS = """raw_spans AS (
@@ -175,8 +149,8 @@ SQL_TRACES = """traces AS (
   FROM spans GROUP BY trace_id)"""
 
 
-def raw_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_as_spans(table(spark, sf_dir, "events"))
+def raw_spans(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    return events_as_spans(table(spark, sf_dir, "events", spread))
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,7 +291,7 @@ def wire_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans as wire JSON (arrival_seq, _json); every 29th one breaks a rule."""
     n = F.col("arrival_seq")
     broken = lambda kind: (n % 29 == 0) & (n % 5 == kind)
-    rows = raw_spans(spark, sf_dir).drop("input", "output")
+    rows = raw_spans(spark, sf_dir, spread=True).drop("input", "output")
     rows = rows.withColumns(
         {
             "status": F.when(broken(0), "running").otherwise(F.col("status")),
@@ -334,7 +308,9 @@ def wire_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return envelope_bodies(wire_rows(spark, sf_dir))
+    bodies = envelope_bodies(wire_rows(spark, sf_dir))
+    # Many source files, as many senders would leave; gzip files are read whole by one task.
+    return bodies.repartition(spark.sparkContext.defaultParallelism)
 
 
 SQL_WIRE = """wire AS (

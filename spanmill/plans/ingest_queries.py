@@ -9,7 +9,7 @@ from spanmill.functions.spans import span_latency
 from spanmill.operators import enrich, validate
 from spanmill.plans import derived as d
 from spanmill.plans.registry import query
-from spanmill.session import work_path
+from spanmill.session import work_path, written
 from spanmill.sources import batches, tables
 
 _SPAN = """span_id, trace_id, parent_span_id, project_id, name, model, provider, agent_name,
@@ -32,16 +32,16 @@ def _(spark, sf):
     path = work_path(spark, "envelopes")
     batches.write_envelopes(d.raw_envelopes(spark, sf), path)
     rows = batches.read_span_batches(spark, path)
-    get = lambda name, kind="string": F.try_variant_get("span", f"$.{name}", kind)
+    get = lambda name, kind="string": F.try_variant_get(f"span.{name}", "$", kind)
     return rows.select(
         get("spanId").alias("span_id"),
         # The batch id itself is a digest of the body; its spans tell the batch.
-        F.floor(F.expr("substring(try_variant_get(span, '$.spanId', 'string'), 4)").cast("bigint") / 100)
+        F.floor(F.substring(get("spanId"), F.lit(4), F.lit(20)).cast("bigint") / 100)
         .cast("string")
         .alias("batch_id"),
         get("projectId").alias("project_id"),
         get("inputTokens", "int").alias("input_tokens"),
-        F.to_json(get("metadata", "variant")).alias("metadata"),
+        F.to_json("span.metadata").alias("metadata"),
     )
 
 
@@ -54,12 +54,14 @@ def _(spark, sf):
 def _(spark, sf):
     bodies = batches.envelopes(d.raw_envelopes(spark, sf))
     rows = batches.explode_spans(bodies)
-    event = F.expr("CAST(substring(try_variant_get(span, '$.spanId', 'string'), 4) AS BIGINT)")
+    event = F.expr("CAST(substring(try_variant_get(span.spanId, '$', 'string'), 4) AS BIGINT)")
     return rows.groupBy("batch_id").agg(F.count("*").alias("spans"), F.sum(event).alias("id_sum"))
 
 
 def _raw(spark, sf):
-    return batches.explode_spans(batches.envelopes(d.raw_envelopes(spark, sf)))
+    # Written once: the accepted and the rejected branch both read it.
+    bodies = written(d.raw_envelopes(spark, sf), "envelopes")
+    return batches.explode_spans(batches.envelopes(bodies))
 
 
 @query(

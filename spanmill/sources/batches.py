@@ -8,8 +8,18 @@ from pyspark.sql import functions as F
 from spanmill.schema import LEGACY_SPANS
 
 
+# --- Fixed values: fields of a span on the wire ---
+WIRE_FIELDS = (
+    "spanId", "traceId", "parentSpanId", "projectId", "name", "model", "provider", "input", "output",
+    "agentName", "inputTokens", "outputTokens", "costUsd", "latencyMs", "status", "errorMessage",
+    "metadata", "startedAt", "endedAt",
+)
+# One VARIANT per field keeps the JSON type of each value for the checks.
+RAW_SPAN = "struct<" + ",".join(f"{name}:variant" for name in WIRE_FIELDS) + ">"
+
+
 def envelopes(bodies: DataFrame, body: str = "value") -> DataFrame:
-    """Parse envelope texts to (batch_id, spans); ``spans`` is an array of VARIANT.
+    """Parse envelope texts to (batch_id, spans); ``spans`` is an array of raw spans.
 
     Unreadable JSON or a missing list gives null. The id is a digest of the body,
     so a redelivered or recomputed batch keeps it.
@@ -20,7 +30,7 @@ def envelopes(bodies: DataFrame, body: str = "value") -> DataFrame:
         (F.col("batch_id") if "batch_id" in bodies.columns else F.sha2(F.col(body), 256)).alias(
             "batch_id"
         ),
-        F.try_variant_get(parsed, "$.spans", "array<variant>").alias("spans"),
+        F.try_variant_get(parsed, "$.spans", f"array<{RAW_SPAN}>").alias("spans"),
     )
 
 
@@ -31,7 +41,7 @@ def read_envelopes(spark: SparkSession, path: str, streaming: bool = False) -> D
 
 
 def explode_spans(batches: DataFrame) -> DataFrame:
-    """One row per span: (batch_id, position, span VARIANT)."""
+    """One row per span: (batch_id, position, span), the fields as VARIANT."""
     others = [c for c in batches.columns if c != "spans"]
     return batches.select(*others, F.posexplode("spans").alias("position", "span"))
 
