@@ -1,7 +1,5 @@
 import json
 
-import pytest
-
 from spanmill.operators import validate
 from spanmill.sources import batches
 
@@ -15,53 +13,56 @@ GOOD = {
 }
 
 
-def reasons(spark, changes, **kw):
-    span = {k: v for k, v in {**GOOD, **changes}.items() if v != "absent"}
-    body = spark.createDataFrame([(json.dumps({"spans": [span]}),)], "value string")
+def reasons(spark, cases, **kw):
+    """Failed checks of each changed copy of the good span, in one job."""
+    spans = [{k: v for k, v in {**GOOD, **c}.items() if v != "absent"} for c in cases]
+    body = spark.createDataFrame([(json.dumps({"spans": spans}),)], "value string")
     raw = batches.explode_spans(batches.envelopes(body))
-    return validate.check_spans(raw, **kw).first()["reasons"]
-
-
-@pytest.mark.parametrize(
-    "changes, expected",
-    [
-        ({}, []),
-        ({"spanId": ""}, ["spanId"]),
-        ({"spanId": "x" * 128}, []),
-        ({"spanId": "x" * 129}, ["spanId"]),
-        # 65 characters outside the basic plane are 130 UTF-16 units.
-        ({"spanId": "😀" * 65}, ["spanId"]),
-        ({"spanId": "😀" * 64}, []),
-        ({"traceId": 5}, ["traceId"]),
-        ({"parentSpanId": None}, ["parentSpanId"]),
-        ({"projectId": "p0"}, ["projectId"]),
-        ({"name": "absent"}, ["name"]),
-        ({"model": "m" * 129}, ["model"]),
-        ({"provider": "p" * 65}, ["provider"]),
-        ({"agentName": "a" * 257}, ["agentName"]),
-        ({"inputTokens": -1}, ["inputTokens"]),
-        ({"inputTokens": 1.5}, ["inputTokens"]),
-        ({"inputTokens": 5.0}, []),
-        ({"inputTokens": "5"}, ["inputTokens"]),
-        ({"costUsd": 0.25}, []),
-        ({"costUsd": -0.1}, ["costUsd"]),
-        ({"status": "running"}, ["status"]),
-        ({"errorMessage": "e" * 4097}, ["errorMessage"]),
-        ({"metadata": {"a": [1]}}, []),
-        ({"metadata": [1]}, ["metadata"]),
-        ({"startedAt": "2024-01-01"}, ["startedAt"]),
-        ({"startedAt": "2024-02-30T00:00:00Z"}, ["startedAt"]),
-        ({"startedAt": "2024-01-01T00:00:00+00:00"}, ["startedAt"]),
-        ({"endedAt": "soon"}, ["endedAt"]),
-        ({"status": "nope", "name": ""}, ["name", "status"]),
-    ],
-)
-def test_rules(spark, changes, expected):
-    assert reasons(spark, changes) == expected
+    checked = validate.check_spans(raw, **kw).orderBy("position")
+    return [r["reasons"] for r in checked.select("reasons").collect()]
+
+
+CASES = [
+    ({}, []),
+    ({"spanId": ""}, ["spanId"]),
+    ({"spanId": "x" * 128}, []),
+    ({"spanId": "x" * 129}, ["spanId"]),
+    # 65 characters outside the basic plane are 130 UTF-16 units.
+    ({"spanId": "😀" * 65}, ["spanId"]),
+    ({"spanId": "😀" * 64}, []),
+    ({"traceId": 5}, ["traceId"]),
+    ({"parentSpanId": None}, ["parentSpanId"]),
+    ({"projectId": "p0"}, ["projectId"]),
+    ({"name": "absent"}, ["name"]),
+    ({"model": "m" * 129}, ["model"]),
+    ({"provider": "p" * 65}, ["provider"]),
+    ({"agentName": "a" * 257}, ["agentName"]),
+    ({"inputTokens": -1}, ["inputTokens"]),
+    ({"inputTokens": 1.5}, ["inputTokens"]),
+    ({"inputTokens": 5.0}, []),
+    ({"inputTokens": "5"}, ["inputTokens"]),
+    ({"costUsd": 0.25}, []),
+    ({"costUsd": -0.1}, ["costUsd"]),
+    ({"status": "running"}, ["status"]),
+    ({"errorMessage": "e" * 4097}, ["errorMessage"]),
+    ({"metadata": {"a": [1]}}, []),
+    ({"metadata": [1]}, ["metadata"]),
+    ({"startedAt": "2024-01-01"}, ["startedAt"]),
+    ({"startedAt": "2024-02-30T00:00:00Z"}, ["startedAt"]),
+    ({"startedAt": "2024-01-01T00:00:00+00:00"}, ["startedAt"]),
+    ({"endedAt": "soon"}, ["endedAt"]),
+    ({"status": "nope", "name": ""}, ["name", "status"]),
+]
+
+
+def test_rules(spark):
+    got = reasons(spark, [changes for changes, _ in CASES])
+    for (changes, expected), found in zip(CASES, got, strict=True):
+        assert found == expected, changes
 
 
 def test_offsets_on_request(spark):
-    assert reasons(spark, {"startedAt": "2024-01-01T02:00:00+02:00"}, allow_offset=True) == []
+    assert reasons(spark, [{"startedAt": "2024-01-01T02:00:00+02:00"}], allow_offset=True) == [[]]
 
 
 def test_types_and_defaults(spark):
