@@ -129,6 +129,42 @@ def tick_metrics(spans: DataFrame, traces: DataFrame, minutes: int = WINDOW_MINU
     return values.unionByName(failures.withColumn("type", F.lit("failure")))
 
 
+_FOLD_CHUNK = 64
+
+
+def _fired(times: Column, wait: int) -> Column:
+    """Times of a sorted array that are at least ``wait`` after the last one that fired.
+
+    Folded chunk by chunk: appending to one long array would copy it every time.
+    """
+
+    def step(state: Column, t: Column) -> Column:
+        fires = state["last"].isNull() | (t - state["last"] >= wait)
+        return F.struct(
+            F.when(fires, t).otherwise(state["last"]).alias("last"),
+            F.when(fires, F.concat(state["fired"], F.array(t))).otherwise(state["fired"]).alias("fired"),
+        )
+
+    def empty(last: Column, kind: str) -> Column:
+        return F.struct(last.alias("last"), F.array().cast(kind).alias("fired"))
+
+    def chunk_step(state: Column, chunk: Column) -> Column:
+        folded = F.aggregate(chunk, empty(state["last"], "array<bigint>"), step)
+        return F.transform(
+            F.array(folded),
+            lambda r: F.struct(
+                r["last"].alias("last"), F.concat(state["fired"], F.array(r["fired"])).alias("fired")
+            ),
+        )[0]
+
+    starts = F.sequence(F.lit(1), F.size(times), F.lit(_FOLD_CHUNK))
+    chunks = F.transform(starts, lambda i: F.slice(times, i, F.lit(_FOLD_CHUNK)))
+    none = F.lit(None).cast("bigint")
+    return F.flatten(
+        F.aggregate(chunks, empty(none, "array<array<bigint>>"), chunk_step, lambda s: s["fired"])
+    )
+
+
 def apply_cooldown(
     breaches: DataFrame, key: str, at: str, cooldown_minutes: int = COOLDOWN_MINUTES
 ) -> DataFrame:
@@ -147,19 +183,7 @@ def apply_cooldown(
     )
     episodes = marked.groupBy(key, "_episode").agg(F.sort_array(F.collect_set("_t")).alias("_ts"))
 
-    def fold(state: Column, t: Column) -> Column:
-        fires = state["last"].isNull() | (t - state["last"] >= wait)
-        return F.struct(
-            F.when(fires, t).otherwise(state["last"]).alias("last"),
-            F.when(fires, F.concat(state["fired"], F.array(t))).otherwise(state["fired"]).alias("fired"),
-        )
-
-    start = F.struct(
-        F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("fired")
-    )
-    fired = episodes.select(
-        key, F.explode(F.aggregate("_ts", start, fold, lambda s: s["fired"])).alias("_t")
-    )
+    fired = episodes.select(key, F.explode(_fired(F.col("_ts"), wait)).alias("_t"))
     return timed.join(fired, [key, "_t"], "left_semi").drop("_t")
 
 

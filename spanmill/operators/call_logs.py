@@ -209,41 +209,37 @@ def sse_data_lines(lines: DataFrame, limit: int = DEFAULT_STREAM_LIMIT) -> DataF
     return whole.join(kept, "call_id", "left").select("call_id", "truncated", "seq", "payload")
 
 
-def _collected(data: DataFrame, pieces: Column, *aggs: Column) -> DataFrame:
-    """Per call the pieces in order; a call is bounded by the byte limit above."""
-    ordered = F.sort_array(F.collect_list(F.when(pieces.isNotNull(), F.struct("seq", pieces.alias("p")))))
-    return data.groupBy("call_id").agg(
-        F.any_value("truncated").alias("truncated"),
-        F.transform(ordered, lambda s: s["p"]).alias("_pieces"),
-        *aggs,
-    )
+def _ordered(when: Column, *values: Column) -> Column:
+    """Rows of a call in order, as structs; a call is bounded by the byte limit above."""
+    return F.sort_array(F.collect_list(F.when(when, F.struct("seq", *values))))
+
+
+def _joined(pieces: Column, separator: str) -> Column:
+    return F.array_join(F.transform(pieces, lambda s: s["p"]), separator)
 
 
 def assemble_sse_openai(data: DataFrame) -> DataFrame:
     """Concatenated deltas up to ``[DONE]``; the last usage wins; bad JSON is skipped."""
-    done_at = data.groupBy("call_id").agg(
-        F.min(F.when(F.col("payload") == "[DONE]", F.col("seq"))).alias("_done")
-    )
-    doc = F.try_parse_json("payload")
-    live = (
-        data.join(done_at, "call_id")
-        .withColumn("_live", F.col("_done").isNull() | (F.col("seq") < F.col("_done")))
-        .withColumn("_doc", F.when(F.col("_live"), doc))
-    )
-    has_usage = _truthy(F.col("_doc"), "$.usage")
-    usage = F.struct(
-        _tokens(F.col("_doc"), "$.usage.prompt_tokens").alias("input_tokens"),
-        _tokens(F.col("_doc"), "$.usage.completion_tokens").alias("output_tokens"),
-    )
-    delta = F.nullif(F.try_variant_get("_doc", "$.choices[0].delta.content", "string"), F.lit(""))
-    out = _collected(
-        live, delta, F.max_by(F.when(has_usage, usage), F.when(has_usage, F.col("seq"))).alias("_u")
+    doc = F.col("_doc")
+    delta = F.nullif(F.try_variant_get(doc, "$.choices[0].delta.content", "string"), F.lit(""))
+    parsed = data.withColumn("_doc", F.try_parse_json("payload")).withColumn("_delta", delta)
+    collected = parsed.groupBy("call_id").agg(
+        F.any_value("truncated").alias("truncated"),
+        F.min(F.when(F.col("payload") == "[DONE]", F.col("seq"))).alias("_done"),
+        _ordered(F.col("_delta").isNotNull(), F.col("_delta").alias("p")).alias("_pieces"),
+        _ordered(
+            _truthy(doc, "$.usage"),
+            _tokens(doc, "$.usage.prompt_tokens").alias("input_tokens"),
+            _tokens(doc, "$.usage.completion_tokens").alias("output_tokens"),
+        ).alias("_usages"),
     )
-    return out.select(
+    before_done = lambda s: F.col("_done").isNull() | (s["seq"] < F.col("_done"))
+    usage = F.try_element_at(F.filter("_usages", before_done), F.lit(-1))
+    return collected.select(
         "call_id",
-        F.array_join("_pieces", "").alias("output"),
-        F.col("_u.input_tokens").alias("input_tokens"),
-        F.col("_u.output_tokens").alias("output_tokens"),
+        _joined(F.filter("_pieces", before_done), "").alias("output"),
+        usage["input_tokens"].alias("input_tokens"),
+        usage["output_tokens"].alias("output_tokens"),
         "truncated",
     )
 
@@ -264,25 +260,25 @@ def assemble_sse_anthropic(data: DataFrame) -> DataFrame:
         ),
         F.lit(0),
     )
-    out = _collected(
-        parsed,
-        text,
-        last("message_start", "$.message.usage.input_tokens").alias("input_tokens"),
-        last("message_delta", "$.usage.output_tokens").alias("output_tokens"),
-    )
-    return out.select(
-        "call_id",
-        F.array_join("_pieces", "").alias("output"),
-        "input_tokens",
-        "output_tokens",
-        "truncated",
+    return (
+        parsed.withColumn("_text", text)
+        .groupBy("call_id")
+        .agg(
+            _ordered(F.col("_text").isNotNull(), F.col("_text").alias("p")).alias("_pieces"),
+            last("message_start", "$.message.usage.input_tokens").alias("input_tokens"),
+            last("message_delta", "$.usage.output_tokens").alias("output_tokens"),
+            F.any_value("truncated").alias("truncated"),
+        )
+        .select("call_id", _joined(F.col("_pieces"), "").alias("output"), "input_tokens", "output_tokens", "truncated")
     )
 
 
 def assemble_sse_generic(data: DataFrame) -> DataFrame:
     """All payloads joined by newlines."""
-    out = _collected(data, F.col("payload"))
-    return out.select("call_id", F.array_join("_pieces", "\n").alias("output"), "truncated")
+    pieces = _ordered(F.col("payload").isNotNull(), F.col("payload").alias("p"))
+    return data.groupBy("call_id").agg(
+        _joined(pieces, "\n").alias("output"), F.any_value("truncated").alias("truncated")
+    )
 
 
 def _named_cost(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanmill.functions.pricing import price_lookup
 from spanmill.functions.stats import combined, gap_filled, js_round, top_k
-from spanmill.operators.overview import model_usage
+from spanmill.operators.overview import model_usage, page_slice
 from spanmill.operators.slices import moment, report_keys, time_slice
 
 
@@ -238,6 +238,9 @@ def cost_summary(
 ) -> DataFrame:
     """The whole page as one row per project: totals, budget, and short arrays."""
     keys = report_keys(project_id)
+    as_of = end if as_of is None else as_of
+    earliest = F.least(_prev_start(start, end), F.date_trunc("month", moment(as_of)))
+    spans = page_slice(spans, project_id, earliest, None, "cost-slice")
     args = (spans, project_id, start, end)
 
     def listed(df: DataFrame, name: str, order: Column, *columns: str) -> DataFrame:
@@ -245,7 +248,7 @@ def cost_summary(
         unordered = F.transform(rows, lambda r: F.struct(*[r[c].alias(c) for c in columns]))
         return df.groupBy(*keys).agg(unordered.alias(name))
 
-    month = _month_cost(spans, project_id, as_of if as_of is not None else end)
+    month = _month_cost(spans, project_id, as_of)
     budgets = projects.filter(F.col("monthly_budget_usd") > 0)
     if project_id is not None:
         month = month.drop("project_id")

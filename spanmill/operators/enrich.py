@@ -7,18 +7,35 @@ from pyspark.sql import functions as F
 
 from spanmill.functions.spans import latency_bucket, cost_bucket, span_latency, token_share
 from spanmill.functions.text import chat_messages, metadata_get, time_ago
+from spanmill.session import written
+
+
+def _one_per_id(spans: DataFrame, keep) -> DataFrame:
+    """The delivery of each span id that ``keep`` (min or max) picks by ``arrival_seq``.
+
+    Only ids and sequence numbers are shuffled. The repeated ids are written as a
+    small table; while its files are below the broadcast threshold the planner
+    broadcasts it, and the spans with their texts are filtered where they are.
+    """
+    repeated = (
+        spans.groupBy("span_id")
+        .agg(F.count("*").alias("_n"), keep("arrival_seq").alias("_kept"))
+        .filter("_n > 1")
+        .drop("_n")
+    )
+    marked = spans.join(written(repeated, "repeated-ids"), "span_id", "left")
+    chosen = F.col("_kept").isNull() | (F.col("arrival_seq") == F.col("_kept"))
+    return marked.filter(chosen).select(*spans.columns)
 
 
 def insert_spans_first_wins(spans: DataFrame) -> DataFrame:
     """One row per span id: the first to arrive (insert-or-ignore)."""
-    first = F.min_by(F.struct(*spans.columns), "arrival_seq").alias("_s")
-    return spans.groupBy(F.col("span_id").alias("_id")).agg(first).select("_s.*")
+    return _one_per_id(spans, F.min)
 
 
 def index_spans_last_wins(spans: DataFrame) -> DataFrame:
     """One row per span id: the last to arrive (replace by id)."""
-    last = F.max_by(F.struct(*spans.columns), "arrival_seq").alias("_s")
-    return spans.groupBy(F.col("span_id").alias("_id")).agg(last).select("_s.*")
+    return _one_per_id(spans, F.max)
 
 
 def _root_names(spans: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spanmill.functions.stats import combined, gap_filled, js_round, percentile_cont, top_k
 from spanmill.operators.errors import error_clusters
 from spanmill.operators.slices import hours_before, moment, report_keys, time_slice
+from spanmill.session import written
 
 _IS_ERROR = "status = 'error'"
 
@@ -324,6 +325,21 @@ def model_share(usage: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
+_READ = (
+    "project_id", "trace_id", "span_id", "agent_name", "model", "provider", "input_tokens", "output_tokens",
+    "latency_ms", "cost_usd", "status", "error_message", "started_at",
+)
+
+
+def page_slice(spans: DataFrame, project_id, start, end, name: str) -> DataFrame:
+    """The rows and columns that the reports of a page read, written once.
+
+    The span table is scanned once; every report then reads the narrow copy in
+    the shared folder, which also outlives lost executors.
+    """
+    return written(time_slice(spans, project_id, start, end).select(*_READ), name)
+
+
 def overview(
     spans: DataFrame, traces: DataFrame, project_id=None, as_of=None, hours: int = 24
 ) -> DataFrame:
@@ -335,6 +351,8 @@ def overview(
     keys = report_keys(project_id)
     start = hours_before(as_of, hours)
     args = (project_id, start, as_of)
+    earliest = F.least(hours_before(as_of, 2 * hours), F.date_trunc("month", moment(as_of)))
+    spans = page_slice(spans, project_id, earliest, as_of, "overview-slice")
 
     def listed(df: DataFrame, name: str, order: list[Column], *columns: str) -> DataFrame:
         rows = F.collect_list(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *columns))
