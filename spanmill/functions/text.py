@@ -127,6 +127,18 @@ def chat_messages(text: Column) -> Column:
     )
 
 
+def json_number(value: Column) -> Column:
+    """A JSON number held in a VARIANT, as double; null for anything else.
+
+    Reading a VARIANT as another type than its own builds a cast object per row,
+    so integers are read as such and other numbers from their text.
+    """
+    kind = F.schema_of_variant(value)
+    return F.when(
+        kind == "BIGINT", F.try_variant_get(value, "$", "bigint").cast("double")
+    ).when((kind == "DOUBLE") | kind.startswith("DECIMAL"), F.to_json(value).try_cast("double"))
+
+
 def metadata_get(metadata: Column, path: str, kind: str = "string") -> Column:
     """Value at a JSON path of the metadata text; null where it cannot be read."""
     return F.try_variant_get(F.try_parse_json(metadata), path, kind)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanmill.functions import pricing
+from spanmill.functions.text import json_number
 
 _ROUTE = r"(?s)\A/v1/p/([^/]+)/([^/]+)(/.*)\z"
 DEFAULT_STREAM_LIMIT = 10 * 1024 * 1024
@@ -39,7 +40,7 @@ def _truthy(doc: Column, path: str) -> Column:
         F.when(kind.isin("MISSING", "VOID"), False)
         .when(kind == "BOOLEAN", text == "true")
         .when(kind == "STRING", text != "")
-        .when(numeric, F.coalesce(F.try_variant_get(doc, path, "double") != 0, F.lit(False)))
+        .when(numeric, F.coalesce(json_number(_variant(doc, path)) != 0, F.lit(False)))
         .otherwise(True)
     )
 
@@ -55,7 +56,7 @@ def _stringified(doc: Column, body: str, path: str) -> Column:
 
 
 def _tokens(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, path, "double").try_cast("int")
+    return json_number(_variant(doc, path)).try_cast("int")
 
 
 def _text_blocks(blocks: Column) -> Column:

@@ -59,9 +59,7 @@ def _(spark, sf):
 
 
 def _raw(spark, sf):
-    # Written once: the accepted and the rejected branch both read it.
-    bodies = written(d.raw_envelopes(spark, sf), "envelopes")
-    return batches.explode_spans(batches.envelopes(bodies))
+    return batches.explode_spans(batches.envelopes(d.raw_envelopes(spark, sf)))
 
 
 @query(
@@ -77,7 +75,9 @@ def _raw(spark, sf):
     FROM wire""",
 )
 def _(spark, sf):
-    valid, rejected = validate.validate_spans(_raw(spark, sf))
+    # Checked once, then split: both branches read the checked rows.
+    typed = written(validate.typed_spans(_raw(spark, sf)), "typed")
+    valid, rejected = validate.split_typed(typed)
     columns = [
         "span_id", "trace_id", "project_id", "input_tokens", "latency_ms", "metadata",
         "started_at", "ended_at",

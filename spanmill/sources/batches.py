@@ -43,7 +43,9 @@ def read_envelopes(spark: SparkSession, path: str, streaming: bool = False) -> D
 def explode_spans(batches: DataFrame) -> DataFrame:
     """One row per span: (batch_id, position, span), the fields as VARIANT."""
     others = [c for c in batches.columns if c != "spans"]
-    return batches.select(*others, F.posexplode("spans").alias("position", "span"))
+    # The outer form: the inner one makes Spark parse each body again in a filter.
+    rows = batches.select(*others, F.posexplode_outer("spans").alias("position", "span"))
+    return rows.filter(F.col("position").isNotNull())
 
 
 def read_span_batches(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:

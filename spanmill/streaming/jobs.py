@@ -12,7 +12,7 @@ from spanmill.functions.pricing import compute_cost
 from spanmill.functions.stats import top_k
 from spanmill.operators.alerts import COOLDOWN_MINUTES, apply_cooldown, metric_values
 from spanmill.operators.enrich import insert_spans_first_wins, resolve_agent_name
-from spanmill.operators.validate import validate_spans
+from spanmill.operators.validate import split_typed, typed_spans
 from spanmill.sources.tables import write_batch, write_trace_partials
 
 WATERMARK = "10 minutes"
@@ -20,11 +20,6 @@ FEED_SIZE = 200
 FLUSH_INTERVAL = "500 milliseconds"
 
 
-def enrich(valid: DataFrame) -> DataFrame:
-    """Redact and price valid spans: columns and constant joins only, no shuffle."""
-    return compute_cost(scrub_pii(valid))
-
-
 def micro_batch_writer(df: DataFrame, interval: str | None = FLUSH_INTERVAL) -> DataStreamWriter:
     """Writer that flushes at the client's interval, or drains the source and stops."""
     writer = df.writeStream
@@ -34,21 +29,20 @@ def micro_batch_writer(df: DataFrame, interval: str | None = FLUSH_INTERVAL) ->
 def ingest_micro_batch(raw: DataFrame, batch_id: int, root: str) -> None:
     """Validate, enrich and store one micro-batch of raw spans (see ``read_span_batches``).
 
-    Writes ``spans``, ``trace_partials`` and ``rejects`` below ``root``. The valid
-    spans are written first and read back, so that redaction runs once and the
-    roll-up does not depend on cached blocks of executors that may go away.
+    Writes ``spans``, ``trace_partials`` and ``rejects`` below ``root``. Checks and
+    redaction run once, into a staged table that the later steps read: nothing is
+    computed twice, and nothing depends on cached blocks of lost executors.
     """
     spark = raw.sparkSession
-    valid, rejected = validate_spans(raw)
-    write_batch(rejected, f"{root}/rejects", batch_id)
+    if "arrival_seq" not in raw.columns:
+        sequence = F.lit(batch_id).cast("bigint") * (1 << 40) + F.monotonically_increasing_id()
+        raw = raw.withColumn("arrival_seq", sequence)
+    typed = scrub_pii(typed_spans(raw))
     staged = f"{root}/staged/ingest_batch={batch_id}"
-    if "arrival_seq" not in valid.columns:
-        valid = valid.withColumn(
-            "arrival_seq", F.lit(batch_id).cast("bigint") * (1 << 40) + F.monotonically_increasing_id()
-        )
-    enrich(valid).write.mode("overwrite").parquet(staged)
-    spans = spark.read.parquet(staged)
-    first = insert_spans_first_wins(spans)
+    typed.write.mode("overwrite").parquet(staged)
+    valid, rejected = split_typed(spark.read.schema(typed.schema).parquet(staged))
+    write_batch(rejected, f"{root}/rejects", batch_id)
+    first = insert_spans_first_wins(compute_cost(valid))
     named = resolve_agent_name(first).withColumn("date", F.to_date("started_at"))
     write_batch(named.hint("rebalance", "project_id", "date"), f"{root}/spans", batch_id, "project_id", "date")
     write_trace_partials(first, f"{root}/trace_partials", batch_id)

@@ -19,7 +19,7 @@ def reasons(spark, cases, **kw):
     body = spark.createDataFrame([(json.dumps({"spans": spans}),)], "value string")
     raw = batches.explode_spans(batches.envelopes(body))
     checked = validate.check_spans(raw, **kw).orderBy("position")
-    return [r["reasons"] for r in checked.select("reasons").collect()]
+    return [r["reasons"].split(",") if r["reasons"] else [] for r in checked.select("reasons").collect()]
 
 
 CASES = [
