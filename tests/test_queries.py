@@ -24,7 +24,10 @@ def test_every_sql_has_a_query():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, con, name):
-    assert difference(QUERIES[name](spark, SF), con, SQL[name]) is None
+    df = QUERIES[name](spark, SF)
+    assert difference(df, con, SQL[name]) is None
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
 def test_approximate_summary_is_close(spark):
