@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 _EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
 _BEFORE_WORD = r"(?<!\w)"
 _AFTER_WORD = r"(?!\w)"
-_SPACE = r"\s   -     　﻿"
+_SPACE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # --- Fixed values: rule name and pattern, applied in this order ---
 RULES = (

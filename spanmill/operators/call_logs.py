@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import pricing
 from spanmill.functions.text import json_number
+from spanmill.session import written
 
 _ROUTE = r"(?s)\A/v1/p/([^/]+)/([^/]+)(/.*)\z"
 DEFAULT_STREAM_LIMIT = 10 * 1024 * 1024
@@ -192,22 +193,26 @@ def _running_bytes(lines: DataFrame) -> DataFrame:
 def sse_data_lines(lines: DataFrame, limit: int = DEFAULT_STREAM_LIMIT) -> DataFrame:
     """Payloads of the ``data: `` lines, up to the byte limit of a call.
 
-    ``truncated`` tells whether the call went over the limit. Calls without any
-    payload keep one row with a null payload, so they do not vanish.
+    ``truncated`` tells whether the call went over the limit. Every call also has
+    one row without a payload, so that calls without any data do not vanish.
+    Only the lines of calls over the limit need a running sum; the ids of those
+    calls are written first, so the planner knows whether they can be broadcast.
     """
-    whole = lines.groupBy("call_id").agg(
+    totals = lines.groupBy("call_id").agg(
         (F.sum((F.octet_length("line") + 1).cast("bigint")) > limit).alias("truncated")
     )
+    over = written(totals.filter("truncated").select("call_id"), "streams-over-limit")
+    whole = lines.join(over, "call_id", "left_anti").withColumn("truncated", F.lit(False))
+    cut = _running_bytes(lines.join(over, "call_id", "left_semi")).filter(F.col("_bytes_upto") <= limit)
+    kept = whole.unionByName(cut.drop("_bytes_upto").withColumn("truncated", F.lit(True)))
     # JavaScript's trim, spelled out: Spark's trim only knows the space.
-    trimmed = F.regexp_replace("line", r"\A[\s ﻿]+|[\s ﻿]+\z", "")
-    kept = (
-        _running_bytes(lines)
-        .filter(F.col("_bytes_upto") <= limit)
-        .withColumn("_trimmed", trimmed)
+    trimmed = F.regexp_replace("line", r"\A[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+\z", "")
+    data = (
+        kept.withColumn("_trimmed", trimmed)
         .filter(F.col("_trimmed").startswith("data: "))
-        .select("call_id", "seq", F.expr("substring(_trimmed, 7)").alias("payload"))
+        .select("call_id", "truncated", "seq", F.expr("substring(_trimmed, 7)").alias("payload"))
     )
-    return whole.join(kept, "call_id", "left").select("call_id", "truncated", "seq", "payload")
+    return totals.unionByName(data, allowMissingColumns=True)
 
 
 def _ordered(when: Column, *values: Column) -> Column:

@@ -193,4 +193,5 @@ def _(spark, sf):
     SELECT call_id, total > 400 AS truncated, CAST(seq AS INT) AS seq, word AS payload FROM sized WHERE upto <= 400""",
 )
 def _(spark, sf):
-    return call_logs.sse_data_lines(d.generic_lines(spark, sf), limit=400)
+    data = call_logs.sse_data_lines(d.generic_lines(spark, sf), limit=400)
+    return data.filter("payload IS NOT NULL")
