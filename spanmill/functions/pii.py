@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanmill.functions.text import JS_SPACE
+
 # The rules come from JavaScript, where \b and \w are ASCII and \s is Unicode.
 # Java 17 has it the other way round, so both are spelled out here.
 _EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
 _BEFORE_WORD = r"(?<!\w)"
 _AFTER_WORD = r"(?!\w)"
-_SPACE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # --- Fixed values: rule name and pattern, applied in this order ---
 RULES = (
     ("EMAIL", rf"{_EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{_AFTER_WORD}"),
     (
         "PHONE",
-        rf"(?:\+?1[{_SPACE}.-]?)?\(?\d{{3}}\)?[{_SPACE}.-]?\d{{3}}[{_SPACE}.-]?\d{{4}}{_AFTER_WORD}",
+        rf"(?:\+?1[{JS_SPACE}.-]?)?\(?\d{{3}}\)?[{JS_SPACE}.-]?\d{{3}}[{JS_SPACE}.-]?\d{{4}}{_AFTER_WORD}",
     ),
     ("SSN", rf"{_BEFORE_WORD}(?!000|666|9\d{{2}})\d{{3}}[- ]?\d{{2}}[- ]?\d{{4}}{_AFTER_WORD}"),
     ("CREDIT_CARD", rf"{_BEFORE_WORD}(?:\d[ -]?){{13,19}}{_EDGE}"),
@@ -25,7 +26,7 @@ RULES = (
         "API_KEY",
         rf"(?i){_BEFORE_WORD}(?:sk|pk|key|api_key|token|secret)[_-]?[A-Za-z0-9]{{20,}}{_AFTER_WORD}",
     ),
-    ("BEARER", rf"(?i){_BEFORE_WORD}Bearer[{_SPACE}]+[A-Za-z0-9\-._~+/]+=*{_EDGE}"),
+    ("BEARER", rf"(?i){_BEFORE_WORD}Bearer[{JS_SPACE}]+[A-Za-z0-9\-._~+/]+=*{_EDGE}"),
 )
 # --- Fixed values: the client-side label of the last rule ---
 CLIENT_LABELS = {"BEARER": "BEARER_TOKEN"}

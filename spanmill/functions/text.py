@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# White space as JavaScript knows it, for use inside a character class; Java's own class is ASCII.
+JS_SPACE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def js_length(text: Column) -> Column:
     """Length in UTF-16 units, as the wire limits count it."""
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("bigint")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanmill.functions import pricing
-from spanmill.functions.text import json_number
+from spanmill.functions.text import JS_SPACE, json_number
 from spanmill.session import written
 
 _ROUTE = r"(?s)\A/v1/p/([^/]+)/([^/]+)(/.*)\z"
@@ -205,8 +205,8 @@ def sse_data_lines(lines: DataFrame, limit: int = DEFAULT_STREAM_LIMIT) -> DataF
     whole = lines.join(over, "call_id", "left_anti").withColumn("truncated", F.lit(False))
     cut = _running_bytes(lines.join(over, "call_id", "left_semi")).filter(F.col("_bytes_upto") <= limit)
     kept = whole.unionByName(cut.drop("_bytes_upto").withColumn("truncated", F.lit(True)))
-    # JavaScript's trim, spelled out: Spark's trim only knows the space.
-    trimmed = F.regexp_replace("line", r"\A[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+\z", "")
+    # Spark's trim only knows the space.
+    trimmed = F.regexp_replace("line", rf"\A[{JS_SPACE}]+|[{JS_SPACE}]+\z", "")
     data = (
         kept.withColumn("_trimmed", trimmed)
         .filter(F.col("_trimmed").startswith("data: "))
