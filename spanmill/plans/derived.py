@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanmill.functions.pricing import compute_cost
 from spanmill.operators.rollup import finish_traces, trace_partials
+from spanmill.session import written
 from spanmill.sources.batches import envelope_bodies, wire_span
 
 AS_OF = "2024-01-30 00:00:00"
@@ -427,7 +428,14 @@ def _lines(calls_df: DataFrame, head: list[Column], delta, tail: list[Column]) -
     )
     noise = [F.lit("event: ping"), F.lit(""), F.lit("data: {oops")]
     lines = F.concat(F.array(*noise, *head), deltas, F.array(*tail))
-    return calls_df.select("call_id", F.posexplode(lines).alias("seq", "line"))
+    rows = _spread(calls_df).select("call_id", F.posexplode(lines).alias("seq", "line"))
+    # Captured lines are a table: the jobs over them read it more than once.
+    return written(rows, "stream-lines")
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before per-row work, as the small test tables fill one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def _data(doc: Column) -> Column:
