@@ -41,6 +41,12 @@ def ship_package(spark: SparkSession) -> None:
     sc._spanmill_shipped = True
 
 
+def file_bytes(spark: SparkSession, path: str):
+    """A driver's vocabulary file as a broadcast: a few MB, whatever the input."""
+    with open(path, "rb") as file:
+        return spark.sparkContext.broadcast(file.read())
+
+
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship_package(df.sparkSession)
     return df.mapInArrow(work, schema)

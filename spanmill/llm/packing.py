@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import map_arrow, range_of, range_starts, task_count, text_bytes, texts_of
+from spanmill.llm.common import file_bytes, map_arrow, range_of, range_starts, task_count, text_bytes, texts_of
 from spanmill.llm.units import unit_encoder
 
 DIMENSIONS, BITS = 3, 12
@@ -170,6 +170,7 @@ def pack_along_curve(docs: DataFrame, tokenizer: str, size: int = 1024, end_id:
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
     spark = docs.sparkSession
+    definition = file_bytes(spark, tokenizer)
     parts = parts or task_count(spark)
     source = texts_of(docs)
     starts = range_starts(curve_keys(source, False).select("place"), "place", parts)
@@ -182,7 +183,7 @@ def pack_along_curve(docs: DataFrame, tokenizer: str, size: int = 1024, end_id:
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = unit_encoder(tokenizer, False)
+        encoder = unit_encoder(definition.value, False)
         packer = None
         for whole in batches:
             for at in range(0, whole.num_rows, 4000):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanmill.llm.common import documents
 from spanmill.llm.packing import pack_along_curve
+from spanmill.llm.piece_bpe import piece_digests
 from spanmill.llm.token_shards import token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +29,8 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_along_curve(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import map_arrow, range_of, range_starts, ragged_take, task_count, texts_of
+from spanmill.llm.common import file_bytes, map_arrow, range_of, range_starts, ragged_take, task_count, texts_of
 from spanmill.llm.units import unit_encoder
 from spanmill.session import work_path
 
@@ -113,6 +113,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, drops_space: bool,
     Extra columns are not read. No documents: no shards.
     """
     spark = docs.sparkSession
+    definition = file_bytes(spark, tokenizer)
     parts = parts or task_count(spark)
     starts = range_starts(docs, "doc_id", parts)
     ordered = (
@@ -123,7 +124,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, drops_space: bool,
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = unit_encoder(tokenizer, drops_space)
+        encoder = unit_encoder(definition.value, drops_space)
         id_bytes = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         part, shard, held, doc_ids, ids, sizes = 0, 0, 0, [], [], []
         for whole in batches:

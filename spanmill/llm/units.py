@@ -36,11 +36,11 @@ _BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(_SHIFTED)}
 class UnitEncoder:
     """``drops_space``: the tokenizer ignores white space, so any space is a cut."""
 
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, definition: bytes, drops_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(definition.decode())
         self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
         self.pieces_of = (_WORD_PIECES if drops_space else _BYTE_PIECES).findall
@@ -87,8 +87,10 @@ class UnitEncoder:
                 ids.append(-1)
                 counts.append(1)
                 continue
-            if not piece.isascii() or " " in piece or "\n" in piece or "\t" in piece or "\r" in piece:
+            if not piece.isascii() or "\n" in piece or "\t" in piece or "\r" in piece:
                 piece = piece.encode().decode("latin-1").translate(_BYTE_CHARS)
+            elif not self.drops_space:
+                piece = piece.replace(" ", _BYTE_CHARS[32])
             tokens = tokenize(piece)
             ids.extend([t.id for t in tokens])
             counts.append(len(tokens))
@@ -153,11 +155,11 @@ class UnitEncoder:
         return pa.concat_arrays(pieces), np.concatenate([[0], np.cumsum(lengths)])
 
 
-_ENCODERS: dict[tuple[str, bool], UnitEncoder] = {}
+_ENCODERS: dict[tuple[bytes, bool], UnitEncoder] = {}
 
 
-def unit_encoder(path: str, drops_space: bool) -> UnitEncoder:
+def unit_encoder(definition: bytes, drops_space: bool) -> UnitEncoder:
     """One encoder for each worker process."""
-    if (path, drops_space) not in _ENCODERS:
-        _ENCODERS[path, drops_space] = UnitEncoder(path, drops_space)
-    return _ENCODERS[path, drops_space]
+    if (definition, drops_space) not in _ENCODERS:
+        _ENCODERS[definition, drops_space] = UnitEncoder(definition, drops_space)
+    return _ENCODERS[definition, drops_space]
