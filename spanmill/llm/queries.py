@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanmill.llm.common import documents
 from spanmill.llm.packing import pack_along_curve
 from spanmill.llm.piece_bpe import piece_digests
+from spanmill.llm.secret_scan import secret_report
 from spanmill.llm.token_shards import token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +35,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(documents(spark, sf_dir))
