@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from spanmill.llm.common import documents
+from spanmill.llm.language_id import predict_languages
 from spanmill.llm.packing import pack_along_curve
 from spanmill.llm.piece_bpe import piece_digests
 from spanmill.llm.secret_scan import secret_report
@@ -40,3 +41,8 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(documents(spark, sf_dir))
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(documents(spark, sf_dir))
