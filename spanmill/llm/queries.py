@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanmill.llm.common import documents
 from spanmill.llm.language_id import predict_languages
+from spanmill.llm.line_dedup import dedup_lines
 from spanmill.llm.packing import pack_along_curve
 from spanmill.llm.piece_bpe import piece_digests
 from spanmill.llm.secret_scan import secret_report
@@ -46,3 +47,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(documents(spark, sf_dir))
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
