@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from spanmill.llm.common import documents
+from spanmill.llm.fingerprints import edited_fingerprints
 from spanmill.llm.language_id import predict_languages
 from spanmill.llm.line_dedup import dedup_lines
 from spanmill.llm.packing import pack_along_curve
@@ -52,3 +53,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
