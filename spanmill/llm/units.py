@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from spanmill.llm.common import ragged_take
 
 #: Units, and pieces of units, kept by a worker between batches (about 40 bytes each).
-KEPT_UNITS = 800_000
+KEPT_UNITS = 400_000
 
 # The pre-tokenizers of the two vocabularies over plain characters (ASCII and
 # Latin letters, whose classes, case and normal form do not depend on a Unicode version).
