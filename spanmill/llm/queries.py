@@ -15,6 +15,7 @@ from spanmill.llm.packing import pack_along_curve
 from spanmill.llm.piece_bpe import piece_digests
 from spanmill.llm.secret_scan import secret_report
 from spanmill.llm.token_shards import token_shards
+from spanmill.llm.topk_search import sign_codes, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,3 +59,22 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
+
+
+@query
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest codes of every vector whose id is divisible by 50."""
+    codes = sign_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return top_k(codes, codes.filter("id % 50 = 0"), 10)
+
+
+SQL["op10_topk_search"] = """
+WITH vectors AS (SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+pairs AS (
+    SELECT q.id AS query_id, c.id AS neighbor_id,
+           CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (q.v[i] > 0) <> (c.v[i] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+    FROM vectors q, vectors c WHERE q.id % 50 = 0 AND q.id <> c.id
+),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, neighbor_id, distance FROM ranked WHERE rank <= 10
+"""
