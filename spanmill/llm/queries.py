@@ -11,6 +11,7 @@ from spanmill.llm.common import documents
 from spanmill.llm.fingerprints import edited_fingerprints
 from spanmill.llm.language_id import predict_languages
 from spanmill.llm.line_dedup import dedup_lines
+from spanmill.llm.near_dedup import near_duplicates
 from spanmill.llm.packing import pack_along_curve
 from spanmill.llm.piece_bpe import piece_digests
 from spanmill.llm.secret_scan import secret_report
@@ -78,3 +79,8 @@ pairs AS (
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, neighbor_id, distance FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "copies")
