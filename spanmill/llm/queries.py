@@ -14,6 +14,7 @@ from spanmill.llm.line_dedup import dedup_lines
 from spanmill.llm.near_dedup import near_duplicates
 from spanmill.llm.packing import pack_along_curve
 from spanmill.llm.piece_bpe import piece_digests
+from spanmill.llm.quality import quality_scores
 from spanmill.llm.secret_scan import secret_report
 from spanmill.llm.token_shards import token_shards
 from spanmill.llm.topk_search import sign_codes, top_k
@@ -84,3 +85,8 @@ SELECT query_id, rank, neighbor_id, distance FROM ranked WHERE rank <= 10
 @query
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "copies")
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
