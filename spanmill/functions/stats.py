@@ -54,12 +54,14 @@ def gap_filled(
     return filled.fillna(0, zeros)
 
 
-def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    """First ``k`` rows, of the whole frame or of each group.
+def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | None) -> DataFrame:
+    """First ``k`` rows, of the whole frame or of each group (None: all of them).
 
     Spark cuts every task's rows to ``k`` per group before the shuffle
     (TakeOrdered or WindowGroupLimit), so a dominant group does not travel.
     """
+    if k is None:
+        return df
     if not keys:
         return df.orderBy(*order).limit(k)
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -37,25 +37,25 @@ def alert_metrics(spans: DataFrame, as_of, minutes: int = WINDOW_MINUTES) -> Dat
 
 
 def alert_error_rate(spans: DataFrame, as_of, minutes: int = WINDOW_MINUTES) -> DataFrame:
-    rows = time_slice(spans, None, _minutes_before(as_of, minutes))
+    rows = time_slice(spans, None, _minutes_before(as_of, minutes), as_of)
     value = F.count_if(F.col("status") == "error") * 100.0 / F.count("*")
     return rows.groupBy("project_id").agg(value.alias("value"))
 
 
 def alert_cost_spike(spans: DataFrame, as_of, minutes: int = WINDOW_MINUTES) -> DataFrame:
-    rows = time_slice(spans, None, _minutes_before(as_of, minutes))
+    rows = time_slice(spans, None, _minutes_before(as_of, minutes), as_of)
     return rows.groupBy("project_id").agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("value"))
 
 
 def alert_latency_p95(spans: DataFrame, as_of, minutes: int = WINDOW_MINUTES) -> DataFrame:
     """Projects whose spans all lack a latency are absent."""
-    rows = time_slice(spans, None, _minutes_before(as_of, minutes))
+    rows = time_slice(spans, None, _minutes_before(as_of, minutes), as_of)
     return percentile_cont(rows, ["project_id"], "latency_ms", 0.95, "value")
 
 
 def alert_failure(traces: DataFrame, as_of, minutes: int = WINDOW_MINUTES) -> DataFrame:
     """Failed traces that started in the window."""
-    rows = time_slice(traces, None, _minutes_before(as_of, minutes)).filter("status = 'error'")
+    rows = time_slice(traces, None, _minutes_before(as_of, minutes), as_of).filter("status = 'error'")
     return rows.groupBy("project_id").agg(F.count("*").alias("value"))
 
 
@@ -198,10 +198,12 @@ def replay_alerts(
 
 
 def alert_history(firings: DataFrame, project_id: str, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Firings of a project, newest first, at most 100 per page."""
+    """Firings of a project, newest first; a page has 1 to 100 rows."""
+    if not 1 <= limit <= 100:
+        raise ValueError("a page has 1 to 100 rows")
     tie = "firing_id" if "firing_id" in firings.columns else "alert_id"
     rows = firings.filter(F.col("project_id") == project_id)
-    return rows.orderBy(F.desc("fired_at"), tie).offset(offset).limit(min(limit, 100))
+    return rows.orderBy(F.desc("fired_at"), tie).offset(offset).limit(limit)
 
 
 def alerts_list(alerts: DataFrame, project_id: str | None = None) -> DataFrame:

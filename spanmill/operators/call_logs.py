@@ -14,7 +14,6 @@ from spanmill.functions.text import JS_SPACE, json_number
 from spanmill.session import written
 
 _ROUTE = r"(?s)\A/v1/p/([^/]+)/([^/]+)(/.*)\z"
-DEFAULT_STREAM_LIMIT = 10 * 1024 * 1024
 SEQ_BLOCK = 4096
 
 
@@ -190,14 +189,17 @@ def _running_bytes(lines: DataFrame) -> DataFrame:
     )
 
 
-def sse_data_lines(lines: DataFrame, limit: int = DEFAULT_STREAM_LIMIT) -> DataFrame:
-    """Payloads of the ``data: `` lines, up to the byte limit of a call.
+def sse_data_lines(lines: DataFrame, limit: int | None = None) -> DataFrame:
+    """Payloads of the ``data: `` lines; with a ``limit``, up to so many bytes of a call.
 
-    ``truncated`` tells whether the call went over the limit. Every call also has
+    ``truncated`` tells whether the call went over the limit (never without one). Every call also has
     one row without a payload, so that calls without any data do not vanish.
     Only the lines of calls over the limit need a running sum; the ids of those
     calls are written first, so the planner knows whether they can be broadcast.
     """
+    if limit is None:
+        totals = lines.select("call_id").distinct().withColumn("truncated", F.lit(False))
+        return totals.unionByName(_data_payloads(lines.withColumn("truncated", F.lit(False))), allowMissingColumns=True)
     totals = lines.groupBy("call_id").agg(
         (F.sum((F.octet_length("line") + 1).cast("bigint")) > limit).alias("truncated")
     )
@@ -205,18 +207,21 @@ def sse_data_lines(lines: DataFrame, limit: int = DEFAULT_STREAM_LIMIT) -> DataF
     whole = lines.join(over, "call_id", "left_anti").withColumn("truncated", F.lit(False))
     cut = _running_bytes(lines.join(over, "call_id", "left_semi")).filter(F.col("_bytes_upto") <= limit)
     kept = whole.unionByName(cut.drop("_bytes_upto").withColumn("truncated", F.lit(True)))
+    return totals.unionByName(_data_payloads(kept), allowMissingColumns=True)
+
+
+def _data_payloads(lines: DataFrame) -> DataFrame:
     # Spark's trim only knows the space.
     trimmed = F.regexp_replace("line", rf"\A[{JS_SPACE}]+|[{JS_SPACE}]+\z", "")
-    data = (
-        kept.withColumn("_trimmed", trimmed)
+    return (
+        lines.withColumn("_trimmed", trimmed)
         .filter(F.col("_trimmed").startswith("data: "))
         .select("call_id", "truncated", "seq", F.expr("substring(_trimmed, 7)").alias("payload"))
     )
-    return totals.unionByName(data, allowMissingColumns=True)
 
 
 def _ordered(when: Column, *values: Column) -> Column:
-    """Rows of a call in order, as structs; a call is bounded by the byte limit above."""
+    """Rows of a call in order, as structs; a call is one answer of a model."""
     return F.sort_array(F.collect_list(F.when(when, F.struct("seq", *values))))
 
 

@@ -53,9 +53,11 @@ def prev_period_cost(spans: DataFrame, project_id=None, start=None, end=None) ->
     )
 
 
-def cost_by_model(spans: DataFrame, project_id=None, start=None, end=None) -> DataFrame:
-    """Model usage with the roundings of the cost page."""
-    return model_usage(spans, project_id, start, end).select(
+def cost_by_model(
+    spans: DataFrame, project_id=None, start=None, end=None, limit: int | None = None
+) -> DataFrame:
+    """Usage of all models (or of the ``limit`` busiest) with the roundings of the cost page."""
+    return model_usage(spans, project_id, start, end, limit).select(
         *report_keys(project_id),
         "model",
         "provider",
@@ -99,6 +101,7 @@ def cost_by_date(spans: DataFrame, project_id=None, start=None, end=None) -> Dat
     return gap_filled(daily, "date", "1 DAY", ["cost_usd"], keys).orderBy(*keys, "date")
 
 
+#: The endpoint for one series; the same report.
 cost_timeseries = cost_by_date
 
 
@@ -127,8 +130,10 @@ def cost_by_date_split(spans: DataFrame, project_id=None, start=None, end=None)
     return gap_filled(daily, "date", "1 DAY", zeros, keys).orderBy(*keys, "date")
 
 
-def cost_by_agent(spans: DataFrame, project_id=None, start=None, end=None, limit: int = 50) -> DataFrame:
-    """Cost of the agents with most spans."""
+def cost_by_agent(
+    spans: DataFrame, project_id=None, start=None, end=None, limit: int | None = None
+) -> DataFrame:
+    """Cost of all agents, or of the ``limit`` agents with most spans."""
     keys = report_keys(project_id)
     rows = time_slice(spans, project_id, start, end).filter(F.col("agent_name").isNotNull())
     agents = rows.groupBy(*keys, "agent_name").agg(
@@ -166,7 +171,7 @@ def cost_delta(costs: DataFrame) -> DataFrame:
 
 
 def agent_cost_share(by_agent: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Cost in percent of all listed agents (at most 50 per project)."""
+    """Cost in percent of the agents of ``by_agent``."""
     window = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     total = F.sum("cost_usd").over(window)
     share = F.when(total > 0, F.col("cost_usd") / total * 100).otherwise(0.0)
@@ -193,7 +198,7 @@ def top_cost_model_agent(spans: DataFrame, project_id=None, start=None, end=None
 def _month_cost(spans: DataFrame, project_id, as_of) -> DataFrame:
     start = F.date_trunc("month", moment(as_of))
     return (
-        time_slice(spans, project_id, start)
+        time_slice(spans, project_id, start, as_of)
         .groupBy("project_id")
         .agg(_cost().alias("month_cost_usd"))
     )
@@ -240,7 +245,8 @@ def cost_summary(
     keys = report_keys(project_id)
     as_of = end if as_of is None else as_of
     earliest = F.least(_prev_start(start, end), F.date_trunc("month", moment(as_of)))
-    spans = page_slice(spans, project_id, earliest, None, "cost-slice")
+    latest = F.greatest(moment(end), moment(as_of))
+    spans = page_slice(spans, project_id, earliest, latest, "cost-slice")
     args = (spans, project_id, start, end)
 
     def listed(df: DataFrame, name: str, order: Column, *columns: str) -> DataFrame:

@@ -162,8 +162,10 @@ def volume_by_grain(
     return _volume(rows, keys, bucket, "bucket").orderBy(*keys, "bucket")
 
 
-def model_usage(spans: DataFrame, project_id=None, start=None, end=None, limit: int = 50) -> DataFrame:
-    """Busiest models with their usual provider, cost, tokens and latency."""
+def model_usage(
+    spans: DataFrame, project_id=None, start=None, end=None, limit: int | None = 50
+) -> DataFrame:
+    """Busiest models (``limit=None``: all) with their usual provider, cost, tokens and latency."""
     keys = report_keys(project_id)
     rows = time_slice(spans, project_id, start, end).filter(F.col("model").isNotNull())
     by_provider = rows.groupBy(*keys, "model", "provider").agg(
@@ -316,7 +318,7 @@ def overview_deltas(pairs: DataFrame) -> DataFrame:
 
 
 def model_share(usage: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Calls in percent of the busiest model (over the 50 rows per project of the usage)."""
+    """Calls in percent of the busiest model (the rows of ``usage``, all models by ``limit=None``)."""
     keys = keys or []
     window = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     busiest = F.max("calls").over(window)

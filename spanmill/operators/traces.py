@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from spanmill.functions.spans import in_range
 from spanmill.functions.text import chat_messages
 from spanmill.operators.enrich import input_preview
-from spanmill.operators.search import search_spans
+from spanmill.operators.search import matching_spans, search_spans
 from spanmill.operators.slices import moment, report_keys, time_slice
+from spanmill.session import written
 
 MAX_PAGE = 100
 
@@ -83,7 +84,7 @@ def list_traces(
     status: str | None = None,
     agent_name: str | None = None,
     search: str | None = None,
-    search_size: int = 200,
+    search_size: int | None = None,
     start=None,
     end=None,
     model: str | None = None,
@@ -92,8 +93,8 @@ def list_traces(
 ) -> DataFrame:
     """Traces that pass all given filters.
 
-    ``search`` keeps the traces of the newest ``search_size`` matching spans, or
-    those whose agent contains the text if no span matches. ``model`` keeps the
+    ``search`` keeps the traces of all matching spans (or of the ``search_size``
+    newest ones), or those whose agent contains the text if no span matches. ``model`` keeps the
     traces with a span of such a model. Both need ``spans``.
     """
     rows = time_slice(traces, project_id, start, end)
@@ -107,16 +108,24 @@ def list_traces(
         matching = time_slice(spans, project_id).filter(F.col("model").ilike(_like(model)))
         rows = rows.join(matching.select("trace_id"), "trace_id", "left_semi")
     if search:
-        hits = search_spans(spans, search, project_id=project_id, size=search_size)
-        found = hits.select("trace_id")
-        # At most search_size rows, so looking at them first is cheap.
-        if found.isEmpty():
-            rows = rows.filter(F.col("agent_name").ilike(_like(search)))
-        else:
-            rows = rows.join(found, "trace_id", "left_semi")
+        hits = (
+            matching_spans(spans, search, project_id)
+            if search_size is None
+            else search_spans(spans, search, project_id=project_id, size=search_size)
+        )
+        # The texts are searched once; both branches read the ids found.
+        found = written(hits.select("trace_id").distinct(), "search-hits")
+        by_text = rows.join(found, "trace_id", "left_semi")
+        by_agent = rows.filter(F.col("agent_name").ilike(_like(search)) & ~found.exists())
+        rows = by_text.unionByName(by_agent)
     return rows
 
 
+def trace_total(listed: DataFrame) -> DataFrame:
+    """Number of traces that pass the filters, whatever the page."""
+    return listed.agg(F.count("*").alias("total"))
+
+
 def encode_cursor(started_at: Column, trace_id: Column) -> Column:
     stamp = F.date_format(started_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     payload = F.to_json(F.struct(stamp.alias("startedAt"), trace_id.alias("id")))
@@ -136,7 +145,8 @@ def trace_page(
 
     The page is a top-k of ``limit + 1`` rows; earlier pages are never read again.
     """
-    limit = min(limit, MAX_PAGE)
+    if not 1 <= limit <= MAX_PAGE:
+        raise ValueError(f"a page has 1 to {MAX_PAGE} rows")
     rows = listed
     if cursor is not None:
         at, trace_id = decode_cursor(cursor)

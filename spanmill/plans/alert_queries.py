@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanmill.operators import alerts, lifecycle, rollup
 from spanmill.plans import derived as d
-from spanmill.plans.registry import query
+from spanmill.plans.registry import placed, query
 from spanmill.session import work_path
 from spanmill.sources import batches, tables
 from spanmill.streaming import jobs
@@ -14,8 +14,7 @@ from spanmill.streaming import jobs
 _AS_OF = f"TIMESTAMP '{d.AS_OF}'"
 # A wide window, so that every project has spans at every scale.
 MINUTES = 600
-_SINCE = f"started_at >= {_AS_OF} - INTERVAL {MINUTES} MINUTE"
-_WITHIN = f"{_SINCE} AND started_at <= {_AS_OF}"
+_WITHIN = f"started_at >= {_AS_OF} - INTERVAL {MINUTES} MINUTE AND started_at <= {_AS_OF}"
 _METRICS = f"""SELECT project_id, count(*) FILTER (status = 'error') * 100e0 / count(*) AS error_rate,
     coalesce(sum(cost_usd), 0e0) AS cost_spike, coalesce(quantile_cont(latency_ms, 0.95), 0e0) AS latency_p95
   FROM spans WHERE {_WITHIN} GROUP BY project_id"""
@@ -35,7 +34,7 @@ def _(spark, sf):
     "alert_error_rate",
     "spans",
     f"""SELECT project_id, round(count(*) FILTER (status = 'error') * 100e0 / count(*), 9) AS value
-    FROM spans WHERE {_SINCE} GROUP BY project_id""",
+    FROM spans WHERE {_WITHIN} GROUP BY project_id""",
 )
 def _(spark, sf):
     return alerts.alert_error_rate(d.spans(spark, sf), d.AS_OF, MINUTES)
@@ -44,7 +43,7 @@ def _(spark, sf):
 @query(
     "alert_cost_spike",
     "spans",
-    f"""SELECT project_id, round(coalesce(sum(cost_usd), 0e0), 9) AS value FROM spans WHERE {_SINCE}
+    f"""SELECT project_id, round(coalesce(sum(cost_usd), 0e0), 9) AS value FROM spans WHERE {_WITHIN}
     GROUP BY project_id""",
 )
 def _(spark, sf):
@@ -55,7 +54,7 @@ def _(spark, sf):
     "alert_latency_p95",
     "spans",
     f"""SELECT project_id, round(quantile_cont(latency_ms, 0.95), 9) AS value FROM spans
-    WHERE {_SINCE} AND latency_ms IS NOT NULL GROUP BY project_id""",
+    WHERE {_WITHIN} AND latency_ms IS NOT NULL GROUP BY project_id""",
 )
 def _(spark, sf):
     return alerts.alert_latency_p95(d.spans(spark, sf), d.AS_OF, MINUTES)
@@ -64,7 +63,7 @@ def _(spark, sf):
 @query(
     "alert_failure",
     "traces",
-    f"""SELECT project_id, count(*) AS value FROM traces WHERE {_SINCE} AND status = 'error'
+    f"""SELECT project_id, count(*) AS value FROM traces WHERE {_WITHIN} AND status = 'error'
     GROUP BY project_id""",
 )
 def _(spark, sf):
@@ -76,7 +75,7 @@ _VALUES = f"""m AS ({_METRICS}), vals AS (
     UNION ALL SELECT project_id, 'cost_spike', cost_spike FROM m
     UNION ALL SELECT project_id, 'latency_p95', latency_p95 FROM m
     UNION ALL SELECT project_id, 'failure', CAST(count(*) AS DOUBLE) FROM traces
-      WHERE {_SINCE} AND status = 'error' GROUP BY project_id)"""
+      WHERE {_WITHIN} AND status = 'error' GROUP BY project_id)"""
 # Recent firings: those of the orders, moved to just before the evaluation.
 _RECENT = f"""recent AS (SELECT alert_id FROM (SELECT 'al-' || (o_orderkey % 37) AS alert_id,
     {_AS_OF} - (o_orderkey % 40) * INTERVAL 1 MINUTE AS fired_at FROM orders)
@@ -195,18 +194,20 @@ def _(spark, sf):
     WHERE project_id = 'p1' ORDER BY fired_at DESC, firing_id LIMIT 100 OFFSET 20""",
 )
 def _(spark, sf):
-    rows = alerts.alert_history(d.firings(spark, sf), "p1", limit=500, offset=20)
+    rows = alerts.alert_history(d.firings(spark, sf), "p1", limit=100, offset=20)
     return rows.drop("project_id")
 
 
 @query(
     "alerts_list",
     "alerts",
-    "SELECT alert_id, project_id, name, type, created_at FROM alerts",
+    """SELECT alert_id, project_id, name, type, created_at,
+      CAST(row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, alert_id) AS INTEGER) AS place
+    FROM alerts""",
 )
 def _(spark, sf):
-    rows = alerts.alerts_list(d.alerts(spark, sf))
-    return rows.select("alert_id", "project_id", "name", "type", "created_at")
+    rows = placed(alerts.alerts_list(d.alerts(spark, sf)), "project_id")
+    return rows.select("alert_id", "project_id", "name", "type", "created_at", "place")
 
 
 _KEPT = f"p.retention_days IS NULL OR started_at >= {_AS_OF} - p.retention_days * INTERVAL 1 DAY"

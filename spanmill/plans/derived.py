@@ -24,16 +24,10 @@ PROJECT_UUIDS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """A source table; ``spread`` is for work that is heavy per row.
-
-    A single small file reads as one task. Only then a round-robin shuffle is
-    worth it; a table of many files already has more tasks than cores.
-    """
+    """A source table; ``spread`` is for work that is heavy per row: the test tables are
+    single files, each read by one task."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    return df.hint("rebalance") if spread else df
 
 
 def _case(value: Column, branches: dict, default=None) -> Column:

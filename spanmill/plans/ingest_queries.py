@@ -388,14 +388,13 @@ def _(spark, sf):
     WHERE provider = 'openai' AND prev_role IS NOT NULL""",
 )
 def _(spark, sf):
-    # Conversations as inputs: transcripts of the even ones, plain text for the rest.
+    # Conversations as inputs: transcripts of the even ones, the plain answer for the rest.
     calls = d.calls(spark, sf)
     inputs = calls.select(
         F.col("call_id").alias("span_id"),
-        F.coalesce(F.get_json_object("request_body", "$.messages"), F.col("text")).alias("input"),
-        "conv_id",
+        F.when(F.col("conv_id") % 2 == 0, F.coalesce(F.get_json_object("request_body", "$.messages"), F.col("text")))
+        .otherwise(F.col("text")).alias("input"),
     )
-    inputs = inputs.withColumn("input", F.when(F.col("conv_id") % 2 == 0, F.col("input")).otherwise("[1]"))
     return enrich.parse_chat_messages(inputs)
 
 

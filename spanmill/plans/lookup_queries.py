@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from spanmill.operators import search, traces, tree
 from spanmill.plans import derived as d
-from spanmill.plans.registry import query
+from spanmill.plans.registry import placed, query
 
 QUERY = "that tion queque"
+#: Its terms, r and d, are no words of any text, but an agent's name holds it.
+NO_WORD = "r-d"
 _TERMS = {"that": 1, "tion": 1, "queque": 2}
 
 _SQL_TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
@@ -109,7 +111,7 @@ def _text_traces(spark, sf):
     "list_traces_search",
     "text_spans",
     f"""WITH {_SQL_POSTINGS}, {_SQL_MATCHING}, {_TEXT_TRACES},
-    hits AS (SELECT trace_id FROM matching WHERE project_id = 'p1' ORDER BY started_at DESC, span_id LIMIT 200)
+    hits AS (SELECT trace_id FROM matching WHERE project_id = 'p1' ORDER BY started_at DESC, span_id)
     SELECT trace_id, started_at FROM tt WHERE project_id = 'p1' AND trace_id IN (SELECT trace_id FROM hits)""",
 )
 def _(spark, sf):
@@ -123,17 +125,25 @@ def _(spark, sf):
     "list_traces_search_fallback",
     "text_spans",
     f"""WITH {_TEXT_TRACES} SELECT trace_id, started_at FROM tt
-    WHERE project_id = 'p1' AND agent_name ILIKE '%riter-%'""",
+    WHERE project_id = 'p1' AND agent_name ILIKE '%{NO_WORD}%'""",
 )
 def _(spark, sf):
     # No span holds a word near this one, so the agent name decides.
     rows = traces.list_traces(
-        _text_traces(spark, sf), d.text_spans(spark, sf).withColumn("input", F.lit("-")).drop("output")
-        .withColumn("output", F.lit(None).cast("string")), project_id="p1", search="riter-",
-    )
+        _text_traces(spark, sf), d.text_spans(spark, sf), project_id="p1", search=NO_WORD
+    )
     return rows.select("trace_id", "started_at")
 
 
+@query(
+    "list_traces_total",
+    "text_spans",
+    f"""WITH {_TEXT_TRACES} SELECT count(*) AS total FROM tt WHERE project_id = 'p1'""",
+)
+def _(spark, sf):
+    return traces.trace_total(traces.list_traces(_text_traces(spark, sf), project_id="p1"))
+
+
 # The second page: its cursor is the last row of the first one.
 @query(
     "trace_page",
@@ -192,9 +202,28 @@ def _(spark, sf):
     return page.select("span_id", "trace_id", "status", "started_at")
 
 
-@query("spans_by_trace", "spans", "SELECT trace_id, span_id, started_at FROM spans")
+@query(
+    "list_spans_legacy_total",
+    "spans",
+    """SELECT count(*) AS total FROM spans WHERE project_id = 'p2' AND status = 'error'
+      AND started_at >= TIMESTAMP '2024-01-03' AND started_at <= TIMESTAMP '2024-01-27'""",
+)
+def _(spark, sf):
+    _, total = traces.list_spans_legacy(
+        d.spans(spark, sf), project_id="p2", status="error", start="2024-01-03", end="2024-01-27"
+    )
+    return total
+
+
+@query(
+    "spans_by_trace",
+    "spans",
+    """SELECT trace_id, span_id, started_at,
+      CAST(row_number() OVER (PARTITION BY trace_id ORDER BY started_at, span_id) AS INTEGER) AS place FROM spans""",
+)
 def _(spark, sf):
-    return traces.spans_by_trace(d.spans(spark, sf)).select("trace_id", "span_id", "started_at")
+    rows = traces.spans_by_trace(d.spans(spark, sf)).select("trace_id", "span_id", "started_at")
+    return placed(rows, "trace_id")
 
 
 _SQL_TREE = """tree AS (
@@ -233,11 +262,13 @@ def _(spark, sf):
 @query(
     "flatten_tree",
     "spans",
-    f"""WITH RECURSIVE {_SQL_TREE} SELECT trace_id, span_id, CAST(depth AS INT) AS depth, path FROM tree""",
+    f"""WITH RECURSIVE {_SQL_TREE} SELECT trace_id, span_id, CAST(depth AS INT) AS depth, path,
+      CAST(row_number() OVER (PARTITION BY trace_id ORDER BY path) AS INTEGER) AS place FROM tree""",
 )
 def _(spark, sf):
     flat = tree.flatten_tree(tree.trace_tree(d.spans(spark, sf)))
-    return flat.select("trace_id", "span_id", "depth", tree.sort_path().alias("path"))
+    rows = flat.select("trace_id", "span_id", "depth", tree.sort_path().alias("path"))
+    return placed(rows, "trace_id")
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
+def placed(ordered: DataFrame, *keys: str) -> DataFrame:
+    """Add the place of each row in the order of the frame, within its ``keys``, so that the
+    checking SQL can compare the order too."""
+    numbered = ordered.withColumn("_at", F.monotonically_increasing_id())
+    window = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    return numbered.withColumn("place", F.row_number().over(window.orderBy("_at"))).drop("_at")
+
+
 def query(name: str, tables: str = "", sql: str | None = None):
     """Register a query; ``tables`` names the derived tables that its SQL reads."""
 

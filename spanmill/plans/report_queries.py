@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanmill.operators import cost, errors, overview, rollup, traces
 from spanmill.plans import derived as d
-from spanmill.plans.registry import query
+from spanmill.plans.registry import placed, query
 
 RANGE = (None, d.START, d.END)
 PERIOD = (None, "2024-01-16 00:00:00", "2024-01-30 00:00:00")
@@ -257,7 +257,7 @@ def _(spark, sf):
       round(calls * 100e0 / max(calls) OVER (PARTITION BY project_id), 9) AS share_pct FROM usage""",
 )
 def _(spark, sf):
-    usage = overview.model_usage(d.spans(spark, sf), *RANGE)
+    usage = overview.model_usage(d.spans(spark, sf), *RANGE, limit=None)
     shares = overview.model_share(usage, ["project_id"])
     return shares.select("project_id", "model", "calls", "share_pct")
 
@@ -482,9 +482,15 @@ def _(spark, sf):
     return cost.cost_by_model(d.spans(spark, sf), *RANGE)
 
 
-@query("model_efficiency_sort", "spans", _BY_MODEL)
+@query(
+    "model_efficiency_sort",
+    "spans",
+    f"""SELECT * EXCLUDE (project_id), CAST(row_number() OVER (ORDER BY avg_latency_ms DESC, model) AS INTEGER) AS place
+    FROM ({_BY_MODEL}) WHERE project_id = 'p0'""",
+)
 def _(spark, sf):
-    return cost.model_efficiency_sort(cost.cost_by_model(d.spans(spark, sf), *RANGE), "avg_latency_ms")
+    by_model = cost.cost_by_model(d.spans(spark, sf), "p0", *RANGE[1:])
+    return placed(cost.model_efficiency_sort(by_model, "avg_latency_ms"))
 
 
 @query(
@@ -547,8 +553,7 @@ def _(spark, sf):
 
 
 _BY_AGENT = f"""SELECT project_id, agent_name, coalesce(sum(cost_usd), 0e0) AS cost_usd FROM spans
-  WHERE {_IN} AND agent_name IS NOT NULL GROUP BY 1, 2
-  QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY count(*) DESC, agent_name) <= 50"""
+  WHERE {_IN} AND agent_name IS NOT NULL GROUP BY 1, 2"""
 
 
 @query("cost_by_agent", "spans", f"SELECT * REPLACE (round(cost_usd, 9) AS cost_usd) FROM ({_BY_AGENT})")
@@ -599,19 +604,35 @@ def _(spark, sf):
     FROM (SELECT p.project_id, p.monthly_budget_usd, coalesce(c.m, 0e0) AS m,
         least(coalesce(c.m, 0e0) / p.monthly_budget_usd * 100, 100e0) AS pct
       FROM projects p LEFT JOIN (SELECT project_id, sum(cost_usd) AS m FROM spans
-        WHERE started_at >= date_trunc('month', {_AS_OF}) GROUP BY 1) c USING (project_id)
+        WHERE started_at >= date_trunc('month', {_AS_OF}) AND started_at <= {_AS_OF} GROUP BY 1) c USING (project_id)
       WHERE p.monthly_budget_usd > 0)""",
 )
 def _(spark, sf):
     return cost.budget_status(d.spans(spark, sf), d.projects(spark), None, d.AS_OF)
 
 
+_MID = "2024-01-11 06:30:00"
+
+
+@query(
+    "budget_status_mid_month",
+    "spans projects",
+    f"""SELECT p.project_id, p.monthly_budget_usd, round(coalesce(m, 0e0), 9) AS month_cost_usd
+    FROM projects p LEFT JOIN (SELECT project_id, sum(cost_usd) AS m FROM spans
+      WHERE started_at >= TIMESTAMP '2024-01-01 00:00:00' AND started_at <= TIMESTAMP '{_MID}' GROUP BY 1)
+      USING (project_id) WHERE p.monthly_budget_usd > 0""",
+)
+def _(spark, sf):
+    status = cost.budget_status(d.spans(spark, sf), d.projects(spark), None, _MID)
+    return status.select("project_id", "monthly_budget_usd", "month_cost_usd")
+
+
 @query(
     "cost_summary",
     "spans projects",
     f"""WITH pc AS ({_PERIOD_COSTS}),
     mo AS (SELECT project_id, sum(cost_usd) AS m FROM spans
-      WHERE started_at >= date_trunc('month', {_AS_OF}) GROUP BY 1),
+      WHERE started_at >= date_trunc('month', {_AS_OF}) AND started_at <= {_AS_OF} GROUP BY 1),
     md AS (SELECT project_id, string_agg(model, ',' ORDER BY n DESC, model) AS models FROM (
       SELECT project_id, model, count(*) AS n FROM spans WHERE {_IN_PERIOD} AND model IS NOT NULL GROUP BY 1, 2)
       GROUP BY 1),
