@@ -16,6 +16,8 @@ from spanmill.session import written
 
 #: Lines with fewer words are always kept, and near lines need so many.
 LEAST_WORDS, LEAST_NEAR_WORDS = 3, 8
+#: Running sums of lines up to this length are made in the row, of longer ones in windows.
+LONG_LINE_WORDS = 2048
 #: Candidate lines up to this number (24 bytes each) are broadcast, more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 _NO_ID = -(1 << 63)
@@ -52,41 +54,70 @@ def _half_keys(words: Column) -> Column:
     return F.array(*keys)
 
 
-def _candidates(distinct: DataFrame) -> DataFrame:
+def _candidates(lines: DataFrame) -> DataFrame:
     """First hashes of lines of which another line has a half."""
-    halves = distinct.filter("halves IS NOT NULL").select(F.explode("halves").alias("half"), "h1")
+    halves = lines.filter("halves IS NOT NULL").select(F.explode("halves").alias("half"), "h1")
     shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high")
     return halves.join(shared.select("half"), "half", "left_semi").select("h1").distinct()
 
 
+def _placed(word: Column, place: Column) -> Column:
+    return F.xxhash64(word, place).bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
+
+
+def _running(values: Column) -> Column:
+    """Sums of the first 0, 1, ... values."""
+    start = F.array(F.lit(0).cast("long"))
+    return F.aggregate(values, start, lambda sums, x: F.array_append(sums, F.element_at(sums, -1) + x))
+
+
+def _with_sums(lines: DataFrame) -> DataFrame:
+    """Adds running sums of hashes of (word, place) and of (word, place - 1); null for lines
+    of very many words, whose sums come from windows."""
+    short = F.size("words") <= LONG_LINE_WORDS
+    here = F.transform("words", lambda w, k: _placed(w, k))
+    moved = F.transform("words", lambda w, k: _placed(w, k - 1))
+    return lines.withColumns({"heads": F.when(short, _running(here)), "tails": F.when(short, _running(moved))})
+
+
 def _neighbourhood(lines: DataFrame) -> DataFrame:
-    """(kind, h1, h2, size, place, key) of candidate lines: kind 0 is the line itself, kind 1
-    the line without the word at ``place``.
+    """(h1, h2, size, at, key) of candidate lines: at -1 is the line itself, else it is the
+    line without the word at ``at``.
 
     A key is the sum of hashes of (word, its place), so the key without a word is a sum over
     the words before it and one over those behind it, whose places move by one.
     """
-    each = lines.select("h1", "h2", F.size("words").alias("n"), F.posexplode("words").alias("place", "word"))
-    mask = F.lit((1 << _HASH_BITS) - 1)
-    each = each.select(
-        "h1", "h2", "n", "place",
-        F.xxhash64("word", "place").bitwiseAND(mask).alias("here"),
-        F.xxhash64("word", F.col("place") - 1).bitwiseAND(mask).alias("moved"),
-    )
+    n = F.size("words")
+
+    def without(k: Column) -> Column:
+        key = F.get("heads", k) + F.element_at("tails", -1) - F.get("tails", k + 1)
+        return F.struct((n - 1).alias("size"), k.alias("at"), key.alias("key"))
+
+    own = F.struct(n.alias("size"), F.lit(-1).alias("at"), F.element_at("heads", -1).alias("key"))
+    variants = F.array_append(F.transform(F.sequence(F.lit(0), n - 1), without), own)
+    short = lines.filter("heads IS NOT NULL").select("h1", "h2", F.inline(variants))
+
+    each = lines.filter("heads IS NULL").select("h1", "h2", n.alias("n"), F.posexplode("words").alias("place", "word"))
     line = Window.partitionBy("h1", "h2")
     upto = line.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    behind = line.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
-    sums = each.select(
-        "h1", "h2", "n", "place", "here", "moved",
-        F.sum("here").over(upto).alias("head"), F.sum("moved").over(behind).alias("tail"),
+    here, moved = _placed(F.col("word"), F.col("place")), _placed(F.col("word"), F.col("place") - 1)
+    sums = each.withColumns({"here": here, "moved": moved}).withColumns(
+        {"head": F.sum("here").over(upto), "tail": F.sum("moved").over(upto), "all": F.sum("moved").over(line)}
     )
-    own = F.struct(F.lit(0).alias("kind"), F.col("n").alias("size"), F.lit(-1).alias("at"), F.col("head").alias("key"))
+    last = F.struct(F.col("n").alias("size"), F.lit(-1).alias("at"), F.col("head").alias("key"))
     less = F.struct(
-        F.lit(1).alias("kind"), (F.col("n") - 1).alias("size"), F.col("place").alias("at"),
-        (F.col("head") - F.col("here") + F.col("tail") - F.col("moved")).alias("key"),
+        (F.col("n") - 1).alias("size"), F.col("place").alias("at"),
+        (F.col("head") - F.col("here") + F.col("all") - F.col("tail")).alias("key"),
     )
-    variants = F.when(F.col("place") == F.col("n") - 1, F.array(less, own)).otherwise(F.array(less))
-    return sums.select("h1", "h2", F.inline(variants))
+    both = F.when(F.col("place") == F.col("n") - 1, F.array(less, last)).otherwise(F.array(less))
+    return short.unionByName(sums.select("h1", "h2", F.inline(both)))
+
+
+def _shared_variants(texts: DataFrame) -> DataFrame:
+    """Variants whose key another line has too, found by narrow rows before anything else."""
+    keyed = _neighbourhood(texts).select("h1", "at", "size", F.xxhash64("size", "key").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high")
+    return keyed.join(shared.select("key"), "key", "left_semi")
 
 
 def _links(variants: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -96,25 +127,16 @@ def _links(variants: DataFrame, firsts: DataFrame) -> DataFrame:
     of them stands for the group. A line and those with one word more: the line against the
     earliest of them, and each of them against the line.
     """
-    variants = variants.join(firsts, ["h1", "h2"])
-    swapped = (
-        variants.filter("kind = 1").groupBy("size", "at", "key")
-        .agg(F.min(F.struct("first", "h1", "h2")).alias("w"), F.count("*").alias("n"))
-        .filter("n > 1").select("size", "at", "key", "w")
-    )
-    same_place = variants.filter("kind = 1").join(swapped, ["size", "at", "key"])
-    own = variants.filter("kind = 0").select("size", "key", F.struct("first", "h1", "h2").alias("line"))
-    longer = variants.filter("kind = 1").select("size", "key", F.struct("first", "h1", "h2").alias("w"))
-    longer_first = longer.groupBy("size", "key").agg(F.min("w").alias("w"))
-    added = own.join(longer_first, ["size", "key"]).select("line.*", "w")
-    removed = longer.join(own, ["size", "key"]).select("w.*", F.col("line").alias("w2"))
-    links = (
-        same_place.select("first", "h1", "h2", "w")
-        .unionByName(added)
-        .unionByName(removed.withColumnRenamed("w2", "w"))
-        .filter("w.first < first")
-    )
-    return links.select("h1", "h2", F.col("w.h1").alias("w1"), F.col("w.h2").alias("w2")).distinct()
+    variants = variants.join(firsts, "h1").select("key", "size", "at", F.struct("first", "h1", "h2").alias("line"))
+    variants = written(variants, "line-variants")
+    less, own = variants.filter("at >= 0"), variants.filter("at < 0").drop("at")
+    earliest = less.groupBy("key", "size", "at").agg(F.min("line").alias("w"), F.count("*").alias("n"))
+    same_place = less.join(written(earliest.filter("n > 1").drop("n"), "earliest-variants"), ["key", "size", "at"])
+    longer_first = less.groupBy("key", "size").agg(F.min("line").alias("w"))
+    added = own.join(written(longer_first, "earliest-longer"), ["key", "size"])
+    removed = less.drop("at").join(own.withColumnRenamed("line", "w"), ["key", "size"])
+    links = same_place.select("line", "w").unionByName(added.select("line", "w")).unionByName(removed.select("line", "w"))
+    return links.filter("w.first < line.first").select("line.h1", "line.h2", F.col("w.h1").alias("w1"), F.col("w.h2").alias("w2")).distinct()
 
 
 def _one_word_apart(a: Column, b: Column) -> Column:
@@ -131,20 +153,19 @@ def _one_word_apart(a: Column, b: Column) -> Column:
 
 def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(distinct lines with first place and whether near an earlier one, all lines)."""
-    lines = _lines(docs)
-    at = F.struct("id", "digest", "place")
     near = F.size("words") >= LEAST_NEAR_WORDS
-    distinct = lines.select("h1", "h2", at.alias("at"), F.when(near, _half_keys(F.col("words"))).alias("halves")).groupBy("h1", "h2").agg(
-        F.min("at").alias("first"), F.count("*").alias("n"), F.any_value("halves").alias("halves")
-    )
-    distinct = written(distinct, "distinct-lines")
-    candidates = written(_candidates(distinct), "candidate-lines")
+    halves = F.when(near, _half_keys(F.col("words"))).alias("halves")
+    lines = written(_lines(docs).select("h1", "h2", "id", "digest", "place", halves), "lines")
+    first = F.min(F.struct("id", "digest", "place")).alias("first")
+    distinct = written(lines.groupBy("h1", "h2").agg(first, F.count("*").alias("n")), "distinct-lines")
+    candidates = written(_candidates(lines), "candidate-lines")
     few = candidates.count() <= BROADCAST_ROWS
     chosen = F.broadcast(candidates) if few else candidates
-    texts = lines.filter(near).join(chosen, "h1", "left_semi").groupBy("h1", "h2").agg(F.any_value("words").alias("words"))
-    texts = written(texts, "candidate-texts")
-    firsts = distinct.select("h1", "h2", "first").join(texts.select("h1", "h2"), ["h1", "h2"], "left_semi")
-    links = _links(_neighbourhood(texts), firsts)
+    texts = _lines(docs).filter(near).join(chosen, "h1", "left_semi").groupBy("h1", "h2").agg(F.any_value("words").alias("words"))
+    texts = written(_with_sums(texts), "candidate-texts")
+    firsts = distinct.select("h1", "h2", "first").join(chosen, "h1", "left_semi")
+    links = _links(_shared_variants(texts), firsts)
+    texts = texts.select("h1", "h2", "words")
     verified = (
         links.join(texts, ["h1", "h2"])
         .join(texts.select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), F.col("words").alias("other")), ["w1", "w2"])
@@ -152,7 +173,7 @@ def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("h1", "h2").distinct()
     )
     near_lines = written(verified, "near-lines")
-    return distinct.select("h1", "h2", "first", "n").join(near_lines.withColumn("near", F.lit(True)), ["h1", "h2"], "left"), lines
+    return distinct.join(near_lines.withColumn("near", F.lit(True)), ["h1", "h2"], "left"), lines
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
