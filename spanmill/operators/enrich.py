@@ -38,12 +38,17 @@ def index_spans_last_wins(spans: DataFrame) -> DataFrame:
     return _one_per_id(spans, F.max)
 
 
-def _root_names(spans: DataFrame) -> DataFrame:
-    """First root name to arrive for each trace: the agent of the trace."""
-    return (
-        spans.filter(F.col("parent_span_id").isNull())
-        .groupBy("trace_id")
-        .agg(F.min_by("name", "arrival_seq").alias("_trace_agent"))
+def root_agents(spans: DataFrame) -> DataFrame:
+    """(trace_id, agent_name, arrival_seq) of the first root to arrive of each trace."""
+    return first_agents(
+        spans.filter(F.col("parent_span_id").isNull()).select("trace_id", F.col("name").alias("agent_name"), "arrival_seq")
+    )
+
+
+def first_agents(agents: DataFrame) -> DataFrame:
+    """The first to arrive of several agents of a trace."""
+    return agents.groupBy("trace_id").agg(
+        F.min_by("agent_name", "arrival_seq").alias("agent_name"), F.min("arrival_seq").alias("arrival_seq")
     )
 
 
@@ -56,11 +61,8 @@ def resolve_agent_name(spans: DataFrame, traces: DataFrame | None = None) -> Dat
     given = F.nullif(F.col("agent_name"), F.lit(""))
     known = F.coalesce(given, F.when(F.col("parent_span_id").isNull(), F.col("name")))
     resolved = spans.withColumn("agent_name", known)
-    agents = (
-        _root_names(spans)
-        if traces is None
-        else traces.select("trace_id", F.col("agent_name").alias("_trace_agent"))
-    )
+    traces = root_agents(spans) if traces is None else traces
+    agents = traces.select("trace_id", F.col("agent_name").alias("_trace_agent"))
     done = resolved.filter(F.col("agent_name").isNotNull())
     open_rows = resolved.filter(F.col("agent_name").isNull()).join(agents, "trace_id", "left")
     filled = open_rows.withColumn("agent_name", F.col("_trace_agent")).select(*spans.columns)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
@@ -11,13 +13,15 @@ from spanmill.functions.pii import scrub_pii
 from spanmill.functions.pricing import compute_cost
 from spanmill.functions.stats import top_k
 from spanmill.operators.alerts import COOLDOWN_MINUTES, apply_cooldown, metric_values
-from spanmill.operators.enrich import insert_spans_first_wins, resolve_agent_name
+from spanmill.operators.enrich import first_agents, insert_spans_first_wins, resolve_agent_name, root_agents
 from spanmill.operators.validate import split_typed, typed_spans
-from spanmill.sources.tables import write_batch, write_trace_partials
+from spanmill.sources.tables import read_traces, write_batch, write_trace_partials
 
 WATERMARK = "10 minutes"
 FEED_SIZE = 200
 FLUSH_INTERVAL = "500 milliseconds"
+#: A micro-batch of the ingest job writes several tables, so it gathers for a while.
+INGEST_INTERVAL = "1 minute"
 
 
 def micro_batch_writer(df: DataFrame, interval: str | None = FLUSH_INTERVAL) -> DataStreamWriter:
@@ -26,36 +30,98 @@ def micro_batch_writer(df: DataFrame, interval: str | None = FLUSH_INTERVAL) ->
     return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
 
 
-def ingest_micro_batch(raw: DataFrame, batch_id: int, root: str) -> None:
+#: Days before a span in which its trace's root is looked for.
+ROOT_DAYS = 1
+
+
+def _numbered(staged: DataFrame, batch_id: int) -> DataFrame:
+    """Dense numbers within the batch, above those of all batches before.
+
+    The row numbers of the tasks are made dense by the sizes of the tasks before: one row per
+    task, so neither the number of tasks nor of rows can run into the next batch.
+    """
+    task = F.shiftright("_row", 33)
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = staged.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    number = F.lit(batch_id).cast("bigint") * (1 << 40) + F.col("_before") + inside
+    return (
+        staged.withColumn("_task", task).join(offsets, "_task")
+        .withColumn("arrival_seq", number).drop("_task", "_before", "_row")
+    )
+
+
+def _exists(spark: SparkSession, root: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _stored_before(spark: SparkSession, root: str, batch_id: int, low, high) -> DataFrame | None:
+    """Spans of earlier micro-batches on the days from ``low`` to ``high`` (a rerun must not
+    see its own); only folders of these days are read."""
+    if low is None or not _exists(spark, root):
+        return None
+    stored = spark.read.option("basePath", root).parquet(root)
+    return stored.filter(F.col("ingest_batch") < batch_id).filter(F.col("date").between(F.lit(low), F.lit(high)))
+
+
+def ingest_micro_batch(
+    raw: DataFrame, batch_id: int, root: str, allow_offset: bool = False, root_days: int = ROOT_DAYS
+) -> None:
     """Validate, enrich and store one micro-batch of raw spans (see ``read_span_batches``).
 
-    Writes ``spans``, ``trace_partials`` and ``rejects`` below ``root``. Checks and
-    redaction run once, into a staged table that the later steps read: nothing is
-    computed twice, and nothing depends on cached blocks of lost executors.
+    Writes ``spans``, ``trace_partials`` and ``rejects`` below ``root``. A span that an earlier
+    micro-batch stored is dropped before it counts anywhere: ids are compared on the days of
+    this batch's spans, where a redelivery has to be. An agent comes from roots of this batch
+    or of those stored up to ``root_days`` days before. Checks and redaction (of rejects too)
+    run once, into a staged table that the later steps read and that goes afterwards.
     """
     spark = raw.sparkSession
-    if "arrival_seq" not in raw.columns:
-        sequence = F.lit(batch_id).cast("bigint") * (1 << 40) + F.monotonically_increasing_id()
-        raw = raw.withColumn("arrival_seq", sequence)
-    typed = scrub_pii(typed_spans(raw))
+    counted = "arrival_seq" in raw.columns
+    if not counted:
+        raw = raw.withColumn("_row", F.monotonically_increasing_id())
+    typed = scrub_pii(typed_spans(raw, allow_offset), ("input", "output", "payload"))
     staged = f"{root}/staged/ingest_batch={batch_id}"
     typed.write.mode("overwrite").parquet(staged)
-    valid, rejected = split_typed(spark.read.schema(typed.schema).parquet(staged))
+    rows = spark.read.schema(typed.schema).parquet(staged)
+    rows = rows if counted else _numbered(rows, batch_id)
+    valid, rejected = split_typed(rows)
     write_batch(rejected, f"{root}/rejects", batch_id)
+    dated = valid.withColumn("date", F.to_date("started_at"))
+    low, high = dated.agg(F.min("date"), F.max("date")).first()
+    stored = _stored_before(spark, f"{root}/spans", batch_id, low, high)
+    if stored is not None:
+        valid = valid.join(stored.select("span_id"), "span_id", "left_anti")
     first = insert_spans_first_wins(compute_cost(valid))
-    named = resolve_agent_name(first).withColumn("date", F.to_date("started_at"))
+    agents = root_agents(first)
+    if stored is not None:
+        since = low - datetime.timedelta(days=root_days)
+        earlier = _stored_before(spark, f"{root}/spans", batch_id, since, high)
+        agents = first_agents(agents.unionByName(root_agents(earlier)))
+    named = resolve_agent_name(first, agents).withColumn("date", F.to_date("started_at"))
     write_batch(named.hint("rebalance", "project_id", "date"), f"{root}/spans", batch_id, "project_id", "date")
     write_trace_partials(first, f"{root}/trace_partials", batch_id)
+    _remove(spark, staged)
 
 
 def stream_ingest(
-    raw: DataFrame, root: str, checkpoint: str, interval: str | None = FLUSH_INTERVAL
+    raw: DataFrame,
+    root: str,
+    checkpoint: str,
+    interval: str | None = INGEST_INTERVAL,
+    allow_offset: bool = False,
 ) -> StreamingQuery:
-    """Raw spans of a stream into the tables below ``root``."""
+    """Raw spans of a stream into the tables below ``root``, each span id once."""
     return (
         micro_batch_writer(raw, interval)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, n: ingest_micro_batch(batch, n, root))
+        .foreachBatch(lambda batch, n: ingest_micro_batch(batch, n, root, allow_offset))
         .start()
     )
 
@@ -176,43 +242,72 @@ def stream_alert_metrics(
     )
 
 
-def _firings_before(spark: SparkSession, root: str, batch_id: int, like: DataFrame) -> DataFrame:
-    """Firings of earlier micro-batches (a rerun must not see its own)."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(hadoop):
+def _firings_before(spark: SparkSession, root: str, batch_id: int, like: DataFrame, since) -> DataFrame:
+    """Firings of earlier micro-batches on the days from ``since`` on (a rerun must not see
+    its own); only folders of these days are read."""
+    if not _exists(spark, root):
         return like.limit(0)
     stored = spark.read.option("basePath", root).parquet(root)
-    return stored.filter(F.col("ingest_batch") < batch_id).select(*like.columns)
+    if "date" not in stored.columns:
+        return like.limit(0)
+    recent = stored.filter(F.col("ingest_batch") < batch_id).filter(F.col("date") >= F.to_date(since))
+    return recent.filter(F.col("tick") > since).select(*like.columns)
+
+
+def _failures(traces: DataFrame, ticks: DataFrame, minutes: int) -> DataFrame:
+    """Failed traces per project and tick: those that started in the window of a tick."""
+    end = F.window("started_at", f"{minutes} minutes")["end"]
+    failed = traces.filter("status = 'error'").select("project_id", end.alias("tick"))
+    counts = failed.groupBy("project_id", "tick").agg(F.count("*").cast("double").alias("value"))
+    wanted = ticks.select("project_id", "tick").distinct()
+    return counts.join(wanted, ["project_id", "tick"], "left_semi").select(
+        "project_id", "tick", F.lit("failure").alias("type"), "value"
+    )
 
 
 def cooldown_micro_batch(
-    metrics: DataFrame, batch_id: int, alerts: DataFrame, root: str, minutes: int = COOLDOWN_MINUTES
+    metrics: DataFrame,
+    batch_id: int,
+    alerts: DataFrame,
+    root: str,
+    minutes: int = COOLDOWN_MINUTES,
+    traces_root: str | None = None,
+    window_minutes: int = 5,
 ) -> None:
     """Append the firings of one micro-batch of metrics to the table at ``root``.
 
-    Firings already stored take part in the cooldown as firings that stand.
+    Firings already stored take part in the cooldown as firings that stand. With
+    ``traces_root`` (see ``write_trace_partials``) failed traces of the same ticks are
+    counted too, so alerts of all four types fire.
     """
+    spark = metrics.sparkSession
+    staged = f"{root}-staged/ingest_batch={batch_id}"
+    # The stream's state is run once; everything after it reads the staged metrics.
+    metrics.write.mode("overwrite").parquet(staged)
+    metrics = spark.read.schema(metrics.schema).parquet(staged)
     values = metric_values(metrics, ["project_id", "tick"])
+    if traces_root is not None and _exists(spark, traces_root):
+        low, high = metrics.agg(F.min("tick"), F.max("tick")).first()
+        traces = read_traces(spark, traces_root)
+        if low is not None:
+            span = F.make_dt_interval(mins=F.lit(window_minutes))
+            traces = traces.filter((F.col("started_at") >= F.lit(low) - span) & (F.col("started_at") < F.lit(high)))
+        values = values.unionByName(_failures(traces, metrics, window_minutes))
     breaches = (
         alerts.filter("is_active")
         .join(values, ["project_id", "type"])
         .filter(F.col("value") > F.col("threshold").cast("double"))
         .select("alert_id", "project_id", "type", "tick", "value", "threshold")
     )
-    first = breaches.agg(F.min("tick")).first()[0]
-    if first is None:
-        write_batch(breaches, root, batch_id)
-        return
-    stored = _firings_before(metrics.sparkSession, root, batch_id, breaches)
-    # Only firings that can still silence one of these breaches.
-    since = F.lit(first) - F.make_dt_interval(mins=F.lit(minutes))
-    recent = stored.filter(F.col("tick") > since)
-    both = breaches.withColumn("_stored", F.lit(False)).unionByName(
-        recent.withColumn("_stored", F.lit(True))
-    )
-    fired = apply_cooldown(both, "alert_id", "tick", minutes).filter("NOT _stored").drop("_stored")
-    write_batch(fired, root, batch_id)
+    first = metrics.agg(F.min("tick")).first()[0]
+    if first is not None:
+        # Only firings that can still silence one of these breaches.
+        since = F.lit(first) - F.make_dt_interval(mins=F.lit(minutes))
+        recent = _firings_before(spark, root, batch_id, breaches, since)
+        both = breaches.withColumn("_stored", F.lit(False)).unionByName(recent.withColumn("_stored", F.lit(True)))
+        breaches = apply_cooldown(both, "alert_id", "tick", minutes).filter("NOT _stored").drop("_stored")
+    write_batch(breaches.withColumn("date", F.to_date("tick")), root, batch_id, "date")
+    _remove(spark, staged)
 
 
 def stream_alert_cooldown(
@@ -221,13 +316,15 @@ def stream_alert_cooldown(
     root: str,
     checkpoint: str,
     interval: str | None = "5 minutes",
+    traces_root: str | None = None,
 ) -> StreamingQuery:
-    """Firings of streaming metrics, at most one per alert and cooldown."""
+    """Firings of streaming metrics, at most one per alert and cooldown; ``traces_root`` adds
+    alerts on failed traces."""
     return (
         micro_batch_writer(metrics, interval)
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, n: cooldown_micro_batch(batch, n, alerts, root))
+        .foreachBatch(lambda batch, n: cooldown_micro_batch(batch, n, alerts, root, traces_root=traces_root))
         .start()
     )
 

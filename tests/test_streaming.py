@@ -56,12 +56,67 @@ def test_ingest_over_several_runs(spark, tmp_path):
     # A batch that is run again replaces its own rows.
     raw = batches.read_span_batches(spark, str(source / "b.json"))
     jobs.ingest_micro_batch(raw, 1, root)
+    assert not (tmp_path / "out" / "staged" / "ingest_batch=1").exists()
     assert stored(spark, root).count() == 10
     assert {r["trace_id"]: r["total_spans"] for r in tables.read_traces(spark, f"{root}/trace_partials").collect()} == {
         "t0": 4, "t1": 3, "t2": 3,
     }
 
 
+def test_ingest_is_idempotent_across_batches(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    root, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    write_file(source, "a.json", [wire(0), wire(1)])
+    run_ingest(spark, source, root, checkpoint)
+    bad = wire(3, name="", input="write to bad@example.com")
+    offset = wire(4, startedAt="2024-01-01T00:04:00+00:00")
+    write_file(source, "b.json", [wire(1, latencyMs=9), wire(2), bad, offset])
+    run_ingest(spark, source, root, checkpoint)
+    rows = {r["span_id"]: r for r in stored(spark, root).collect()}
+    assert sorted(rows) == ["s0", "s1", "s2"] and stored(spark, root).count() == 3
+    assert rows["s1"]["latency_ms"] is None  # the first delivery stays
+    assert rows["s2"]["agent_name"] == "n0"  # from the root of the earlier batch
+    totals = tables.read_traces(spark, f"{root}/trace_partials").collect()
+    assert [(r["trace_id"], r["total_spans"]) for r in totals] == [("t0", 3)]
+    rejects = {r["span_id"]: r["payload"] for r in stored(spark, root, "rejects").collect()}
+    assert sorted(rejects) == ["s3", "s4"] and "bad@example.com" not in rejects["s3"]
+    raw = batches.read_span_batches(spark, str(source / "b.json"))
+    jobs.ingest_micro_batch(raw, 2, root, allow_offset=True)
+    assert {r["span_id"] for r in stored(spark, root).collect()} == {"s0", "s1", "s2", "s4"}
+
+
+def test_sequence_numbers_of_many_tasks(spark):
+    rows = spark.range(0, 600, 1, 300).withColumn("_row", F.monotonically_increasing_id())
+    numbers = [[r["arrival_seq"] for r in jobs._numbered(rows, n).collect()] for n in (1, 2)]
+    assert sorted(numbers[0]) == [(1 << 40) + k for k in range(600)]
+    assert max(numbers[0]) < min(numbers[1])
+
+
+def test_failures_fire_in_the_stream(spark, tmp_path):
+    from decimal import Decimal as D
+
+    base = dt.datetime(2024, 1, 1)
+    alerts = spark.createDataFrame(
+        [("a", "p", "failure", D("1"), True)],
+        "alert_id string, project_id string, type string, threshold decimal(10,4), is_active boolean",
+    )
+    spans = [(f"s{k}", f"t{k}", None, "p", "n", 1, 1, 1, 0.0, "error", "{}", k, base + dt.timedelta(minutes=m))
+             for k, m in enumerate((1, 2, 6, 11, 12, 13, 31, 32))]
+    schema = """span_id string, trace_id string, parent_span_id string, project_id string, name string,
+        input_tokens int, output_tokens int, latency_ms int, cost_usd double, status string,
+        metadata string, arrival_seq long, started_at timestamp"""
+    frame = spark.createDataFrame(spans, schema).withColumn("ended_at", F.col("started_at"))
+    traces_root, root = str(tmp_path / "partials"), str(tmp_path / "firings")
+    tables.write_trace_partials(frame, traces_root, 0)
+    metrics = jobs.stream_alert_metrics(frame)
+    for n, low in enumerate((0, 30)):
+        part = metrics.filter((F.col("tick") > base + dt.timedelta(minutes=low)) & (F.col("tick") <= base + dt.timedelta(minutes=low + 30)))
+        jobs.cooldown_micro_batch(part, n, alerts, root, traces_root=traces_root)
+    fired = stored(spark, str(tmp_path), "firings").orderBy("tick").collect()
+    assert [((r["tick"] - base).total_seconds() / 60, r["value"]) for r in fired] == [(5, 2.0), (35, 2.0)]
+
+
 def test_partials_compact_to_the_same_traces(spark, tmp_path):
     rows = [(f"s{i}", f"t{i % 4}", None if i < 4 else "x", "p", f"n{i}", 1, 1, 1, 0.5, "success", "{}", i) for i in range(40)]
     spans = spark.createDataFrame(
