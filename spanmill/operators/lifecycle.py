@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanmill.operators.slices import days_before, moment
+from spanmill.session import written
 
 # --- Fixed values: days after which data changes its tier ---
 TIER_DAYS = {"rollover": 7, "warm": 30, "cold": 60, "delete": 90}
@@ -44,58 +45,61 @@ def retention_report(spans: DataFrame, projects: DataFrame, as_of) -> DataFrame:
     )
 
 
-def retention_cleanup(
-    spark: SparkSession, path: str, projects: DataFrame, as_of
-) -> dict[str, str]:
-    """Delete expired spans from a table written by ``spans_sink``.
+def retention_cleanup(spark: SparkSession, path: str, projects: DataFrame, as_of) -> DataFrame:
+    """Delete expired spans from a table written by ``spans_sink``; returns (project_id,
+    deleted, outcome) of every project with a retention.
 
-    Days wholly before the cutoff are dropped as partition folders, without
-    reading them; only the day of the cutoff is rewritten. Projects are handled
-    one by one, so a failure of one does not stop the others. Returns the
-    outcome per project (``ok`` or the error).
+    One job counts them per folder, one rewrites the folders that also hold spans to keep,
+    and folders without any are removed. The folders' own names are used, so any project
+    name works; a folder that cannot be removed is reported for its project only. What
+    reaches the driver is one row per folder with expired spans.
     """
-    limits = (
-        projects.filter(F.col("retention_days").isNotNull())
-        .select("project_id", days_before(as_of, F.col("retention_days")).alias("cutoff"))
-        .withColumn("day", F.to_date("cutoff").cast("string"))
-        .withColumn("cutoff", F.col("cutoff").cast("string"))
+    stored = spark.read.parquet(path)
+    own = stored.select("*", F.expr("_metadata.file_path").alias("_file"))
+    folder = F.regexp_replace("_file", "/[^/]*$", "").alias("_folder")
+    limits = projects.filter(F.col("retention_days").isNotNull()).select(
+        F.col("project_id").cast(stored.schema["project_id"].dataType).alias("project_id"),
+        days_before(as_of, F.col("retention_days")).alias("_cutoff"),
+    )
+    # Days after the cutoff are not read; the planner prunes them per project.
+    old = own.join(limits, "project_id").filter(F.col("date") <= F.to_date("_cutoff"))
+    gone = F.col("started_at") < F.col("_cutoff")
+    per_folder = (
+        old.groupBy("project_id", folder)
+        .agg(F.count_if(gone).alias("deleted"), F.count_if(~gone).alias("kept"))
+        .filter("deleted > 0")
     )
-    outcome = {}
-    # Projects are a control table; the rows steer file operations, not data.
-    for limit in limits.toLocalIterator():
+    folders = per_folder.collect()
+    if any(f["kept"] for f in folders):
+        edges = spark.createDataFrame([(f["_folder"],) for f in folders if f["kept"]], "_folder string")
+        kept = old.withColumn("_folder", folder).join(edges, "_folder", "left_semi").filter(~gone)
+        # Written aside first: the rewrite reads the folders that it replaces.
+        rows = written(kept.select(*stored.columns), "retained-spans")
+        (
+            rows.hint("rebalance", "project_id", "date").write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy("project_id", "date").parquet(path)
+        )
+    jvm = spark.sparkContext._jvm
+    counts: dict[str, int] = {}
+    errors: dict[str, str] = {}
+    for f in folders:
+        project = str(f["project_id"])
+        counts[project] = counts.get(project, 0) + f["deleted"]
+        if f["kept"]:
+            continue
         try:
-            _clean_project(spark, path, limit["project_id"], limit["cutoff"], limit["day"])
-            outcome[limit["project_id"]] = "ok"
+            place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f["_folder"]))
+            files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            if not files.delete(place, True):
+                raise OSError(f"{f['_folder']} is still there")
         except Exception as error:  # noqa: BLE001 - reported per project
-            outcome[limit["project_id"]] = str(error)
-    return outcome
-
-
-def _clean_project(spark: SparkSession, path: str, project_id: str, cutoff: str, day: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(f"{path}/project_id={project_id}")
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return
-    fresh, edge = hadoop.Path(folder, f"_cleaned-{day}"), hadoop.Path(folder, f"date={day}")
-    if files.exists(fresh):
-        # Left by a lost run: complete if it had already removed the old folder.
-        if files.exists(edge):
-            files.delete(fresh, True)
-        else:
-            files.rename(fresh, edge)
-    for status in files.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("date=") and name[5:] < day:
-            files.delete(status.getPath(), True)
-    if not files.exists(edge):
-        return
-    # Write the kept rows aside first, then swap the folders.
-    rows = spark.read.parquet(edge.toString())
-    kept = rows.filter(F.col("started_at") >= F.lit(cutoff).cast("timestamp"))
-    kept.write.parquet(fresh.toString())
-    files.delete(edge, True)
-    files.rename(fresh, edge)
+            errors[project] = str(error)
+    rows = [(p, n, errors.get(p, "ok")) for p, n in sorted(counts.items())]
+    found = spark.createDataFrame(rows, "project_id string, deleted long, outcome string")
+    return (
+        projects.filter(F.col("retention_days").isNotNull()).select("project_id")
+        .join(found, "project_id", "left").fillna({"deleted": 0, "outcome": "ok"})
+    )
 
 
 def lifecycle_tier(spans: DataFrame, as_of, days: dict[str, int] = TIER_DAYS) -> DataFrame:

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from spanmill.functions.spans import span_end, total_tokens
 from spanmill.session import cut_lineage
 
-MAX_DOUBLINGS = 20
-
 
 def _step() -> Column:
     """Order of a span among its siblings: by start, then by id, as sortable text."""
@@ -17,61 +15,81 @@ def _step() -> Column:
     return F.concat(micros, F.lit(":"), F.col("span_id"))
 
 
-def trace_tree(spans: DataFrame, max_doublings: int = MAX_DOUBLINGS) -> DataFrame:
-    """Add ``root_id``, ``depth`` and ``path`` to spans of any number of traces.
-
-    A span whose parent is not in its trace is a root. ``path`` lists the steps
-    from the root down, so sorting by it gives depth-first order.
-
-    Every span knows its parent at first; each round joins it with what its
-    current ancestor knows, so the distance doubles and a tree of depth d takes
-    log2(d) joins. Spans that have reached their root leave the rounds. Spans in
-    a parent cycle never reach a root; they stop after ``max_doublings`` rounds
-    and are dropped, as they hang on no root.
-    """
-    links = spans.select("trace_id", "span_id", "parent_span_id", _step().alias("_step"))
+def _links(spans: DataFrame) -> DataFrame:
+    """(trace_id, span_id, up, done): the parent, or the span itself if that is a root."""
+    links = spans.select("trace_id", "span_id", "parent_span_id")
     parents = links.select(
         "trace_id", F.col("span_id").alias("parent_span_id"), F.col("span_id").alias("_known")
     )
-    state = cut_lineage(
-        links.join(parents, ["trace_id", "parent_span_id"], "left").select(
-            "trace_id",
-            "span_id",
-            # The ancestor reached so far, and the steps below it.
-            F.coalesce("_known", "span_id").alias("up"),
-            F.col("_known").isNull().alias("done"),
-            F.array("_step").alias("path"),
-        )
+    return links.join(parents, ["trace_id", "parent_span_id"], "left").select(
+        "trace_id",
+        "span_id",
+        F.coalesce("_known", "span_id").alias("up"),
+        F.col("_known").isNull().alias("done"),
     )
-    finished = state.filter("done")
-    active = state.filter("NOT done")
-    for _ in range(max_doublings):
-        if active.isEmpty():
+
+
+def _climbed(active: DataFrame, finished: DataFrame, *carried: str) -> DataFrame:
+    """One round: every active span takes over what its ancestor so far knows."""
+    known = finished.unionByName(active).select(
+        "trace_id",
+        F.col("span_id").alias("up"),
+        F.col("up").alias("_up"),
+        F.col("done").alias("_done"),
+        *[F.col(c).alias(f"_{c}") for c in carried],
+    )
+    return active.drop("done").join(known, ["trace_id", "up"]).select(
+        "trace_id",
+        "span_id",
+        F.col("_up").alias("up"),
+        F.col("_done").alias("done"),
+        *[F.concat(f"_{c}", c).alias(c) for c in carried],
+    )
+
+
+def cyclic_spans(spans: DataFrame) -> DataFrame:
+    """(trace_id, span_id) of spans whose ancestors run in a circle: they hang on no root.
+
+    Distances double each round, and only ids travel. A span of depth d is done after
+    log2(d) rounds, and then so is one of its ancestors in every round before: once a round
+    finishes none, all that is left is cyclic.
+    """
+    state = cut_lineage(_links(spans))
+    finished, active = state.filter("done"), state.filter("NOT done")
+    while not active.isEmpty():
+        moved = cut_lineage(_climbed(active, finished))
+        active = moved.filter("NOT done")
+        new = moved.filter("done")
+        if new.isEmpty():
             break
-        known = finished.unionByName(active).select(
-            "trace_id",
-            F.col("span_id").alias("up"),
-            F.col("up").alias("_up"),
-            F.col("done").alias("_done"),
-            F.col("path").alias("_path"),
-        )
-        moved = cut_lineage(
-            active.drop("done")
-            .join(known, ["trace_id", "up"])
-            .select(
-                "trace_id",
-                "span_id",
-                F.col("_up").alias("up"),
-                F.col("_done").alias("done"),
-                F.concat("_path", "path").alias("path"),
-            )
-        )
+        finished = finished.unionByName(new)
+    return active.select("trace_id", "span_id")
+
+
+def trace_tree(spans: DataFrame) -> DataFrame:
+    """Add ``root_id``, ``depth`` and ``path`` to spans of any number of traces.
+
+    A span whose parent is not in its trace is a root. ``path`` lists the steps
+    from the root down, so sorting by it gives depth-first order. Spans in a parent cycle,
+    or below one, stay with nulls in the three columns (see ``cyclic_spans``).
+
+    Every span knows its parent at first; each round joins it with what its current ancestor
+    knows, so the distance doubles and a tree of depth d takes log2(d) joins. Paths are built
+    only for spans that reach a root.
+    """
+    circling = cyclic_spans(spans)
+    sound = spans.join(circling, ["trace_id", "span_id"], "left_anti")
+    steps = sound.select("trace_id", "span_id", F.array(_step()).alias("path"))
+    state = cut_lineage(_links(sound).join(steps, ["trace_id", "span_id"]))
+    finished, active = state.filter("done"), state.filter("NOT done")
+    while not active.isEmpty():
+        moved = cut_lineage(_climbed(active, finished, "path"))
         finished = finished.unionByName(moved.filter("done"))
         active = moved.filter("NOT done")
     placed = finished.select(
         "trace_id", "span_id", F.col("up").alias("root_id"), "path", (F.size("path") - 1).alias("depth")
     )
-    return spans.join(placed, ["trace_id", "span_id"])
+    return spans.join(placed, ["trace_id", "span_id"], "left")
 
 
 def flatten_tree(tree: DataFrame) -> DataFrame:

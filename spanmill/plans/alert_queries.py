@@ -234,6 +234,20 @@ def _(spark, sf):
     return lifecycle.retained(d.spans(spark, sf), d.projects(spark), d.AS_OF).select("span_id")
 
 
+@query(
+    "retention_cleanup_counts",
+    "spans projects",
+    f"""SELECT p.project_id, count(s.span_id) AS deleted, 'ok' AS outcome FROM projects p
+    LEFT JOIN spans s ON s.project_id = p.project_id
+      AND s.started_at < {_AS_OF} - p.retention_days * INTERVAL 1 DAY
+    WHERE p.retention_days IS NOT NULL GROUP BY 1""",
+)
+def _(spark, sf):
+    path = work_path(spark, "retention")
+    batches.spans_sink(d.spans(spark, sf), path)
+    return lifecycle.retention_cleanup(spark, path, d.projects(spark), d.AS_OF)
+
+
 @query(
     "retention_cleanup",
     "spans projects",

@@ -198,9 +198,11 @@ def _(spark, sf):
 def _(spark, sf):
     path = work_path(spark, "csv")
     batches.export_csv(d.text_spans(spark, sf).select("span_id", "input", "error_message"), path)
-    return spark.read.csv(
-        path, header=True, quote='"', escape='"', multiLine=True, schema="span_id string, input string, error_message string",
-    )
+    # The header is a row of the first part only.
+    rows = spark.read.csv(
+        path, quote='"', escape='"', multiLine=True, schema="span_id string, input string, error_message string"
+    )
+    return rows.filter("span_id <> 'span_id'")
 
 
 @query(

@@ -167,19 +167,20 @@ def read_spans(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    """RFC 4180 files: header, quotes only where needed, doubled quotes, null as empty.
+def csv_lines(df: DataFrame) -> DataFrame:
+    """One ``value`` per row: RFC 4180 fields, null as empty, quotes (doubled inside) only
+    around text with a comma, a quote or a line feed."""
+    fields = []
+    for name, kind in df.dtypes:
+        field = F.date_format(F.col(f"`{name}`"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX") if kind.startswith("timestamp") else F.col(f"`{name}`").cast("string")
+        quoted = F.concat(F.lit('"'), F.replace(field, F.lit('"'), F.lit('""')), F.lit('"'))
+        needed = field.contains(",") | field.contains('"') | field.contains("\n")
+        fields.append(F.coalesce(F.when(needed, quoted).otherwise(field), F.lit("")))
+    return df.select(F.concat_ws(",", *fields).alias("value"))
 
-    Ordered input stays ordered across the part files.
-    """
-    df.write.csv(
-        path,
-        header=True,
-        quote='"',
-        escape='"',
-        nullValue="",
-        emptyValue="",
-        timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-    )
+
+def export_csv(df: DataFrame, path: str) -> None:
+    """CSV whose part files make one file in the order of their names: the header is the
+    first part alone, and ordered input stays ordered."""
+    names = df.sparkSession.createDataFrame([tuple(df.columns)], ", ".join(f"c{k} string" for k in range(len(df.columns))))
+    csv_lines(names).coalesce(1).unionAll(csv_lines(df)).write.text(path)

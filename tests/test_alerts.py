@@ -112,22 +112,57 @@ def test_messages(spark):
 
 
 def test_retention_on_files(spark, tmp_path):
-    rows = [(f"{p}{d}", p, at(d * 1440 + 600)) for p in ("p", "q", "keep") for d in range(6)]
+    odd = "a:b/c%"
+    rows = [(f"{p}{d}", p, at(d * 1440 + 600)) for p in ("p", "q", "keep", odd) for d in range(6)]
+    rows += [("edge", odd, at(3 * 1440 + 900)), ("late", "p", at(1 * 1440 + 1000))]
     spans = spark.createDataFrame(rows, "span_id string, project_id string, started_at timestamp")
     projects = spark.createDataFrame(
-        [("p", 2), ("q", 4), ("keep", None), ("absent", 1)], "project_id string, retention_days int"
+        [("p", 2), ("q", 4), ("keep", None), ("absent", 1), (odd, 2)], "project_id string, retention_days int"
     )
     path = str(tmp_path / "spans")
     batches.spans_sink(spans, path)
     # Noon of day 5: cutoffs fall inside days 3 and 1.
     as_of = at(5 * 1440 + 720)
     outcome = lifecycle.retention_cleanup(spark, path, projects, as_of)
-    assert outcome == {"p": "ok", "q": "ok", "absent": "ok"}
+    assert {(r["project_id"], r["deleted"], r["outcome"]) for r in outcome.collect()} == {
+        ("p", 5, "ok"), ("q", 2, "ok"), ("absent", 0, "ok"), (odd, 4, "ok"),
+    }
     left = sorted(r["span_id"] for r in batches.read_spans(spark, path).collect())
-    assert left == sorted(["p4", "p5", "q2", "q3", "q4", "q5"] + [f"keep{d}" for d in range(6)])
+    kept = ["p4", "p5", "q2", "q3", "q4", "q5", f"{odd}4", f"{odd}5", "edge"]
+    assert left == sorted(kept + [f"keep{d}" for d in range(6)])
     assert left == sorted(r["span_id"] for r in lifecycle.retained(spans, projects, as_of).collect())
     report = {r["project_id"]: r["deleted"] for r in lifecycle.retention_report(spans, projects, as_of).collect()}
-    assert report == {"p": 4, "q": 2, "absent": 0}
+    assert report == {"p": 5, "q": 2, "absent": 0, odd: 4}
+
+
+def test_csv_parts_make_one_file(spark, tmp_path):
+    rows = [("a", 1.5, at(0)), ('say "hi", x', None, None), ("line\nfeed", 2.0, None), ("only\rreturn", None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "name string, `odd,name` double, t timestamp").repartition(3).orderBy(F.asc_nulls_last("name"))
+    path = tmp_path / "csv"
+    batches.export_csv(df, str(path))
+    text = "".join(p.read_bytes().decode() for p in sorted(path.glob("part-*")))
+    assert text == (
+        'name,"odd,name",t\na,1.5,2024-01-01T00:00:00.000Z\n"line\nfeed",2.0,\nonly\rreturn,,\n"say ""hi"", x",,\n,,\n'
+    )
+
+
+def test_costly_rare_agent_and_model(spark):
+    from spanmill.operators import cost
+
+    rows = [("p", f"m{k:02d}", f"a{k:02d}", 1.0, at(j)) for k in range(60) for j in range(3)]
+    rows += [("p", "rare", "seldom", 1000.0, at(1)), ("p", "late", "late", 5000.0, at(90))]
+    spans = spark.createDataFrame(rows, "project_id string, model string, agent_name string, cost_usd double, started_at timestamp")
+    spans = spans.withColumns(
+        {c: F.lit(1) for c in ("input_tokens", "output_tokens", "latency_ms")} | {"provider": F.lit("openai")}
+    )
+    top = cost.top_cost_model_agent(spans, "p", at(0), at(60)).first()
+    assert (top["most_expensive_model"], top["most_expensive_agent"]) == ("rare", "seldom")
+    shares = {r["agent_name"]: r["share_pct"] for r in cost.agent_cost_share(cost.cost_by_agent(spans, "p", at(0), at(60))).collect()}
+    assert len(shares) == 61 and abs(shares["seldom"] - 100 * 1000 / 1180) < 1e-9
+    assert cost.cost_by_model(spans, "p", at(0), at(60)).count() == 61
+    assert cost.cost_by_model(spans, "p", at(0), at(60), limit=50).count() == 50
+    projects = spark.createDataFrame([("p", 2000.0)], "project_id string, monthly_budget_usd double")
+    assert cost.budget_status(spans, projects, as_of=at(60)).first()["month_cost_usd"] == 1180.0
 
 
 def test_tiers(spark):

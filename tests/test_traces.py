@@ -84,13 +84,16 @@ def test_deep_wide_orphaned_and_cyclic_trees(spark):
     rows += [row(f"w{i}", 100 + i, parent="w", trace="wide", started=f"2024-01-0{1 + i % 3}") for i in range(1, 40)]
     rows += [row("o1", 200, parent="gone", trace="orphan"), row("o2", 201, parent="o1", trace="orphan")]
     rows += [row("c1", 300, parent="c2", trace="cycle"), row("c2", 301, parent="c1", trace="cycle")]
-    rows += [row("c0", 302, trace="cycle")]
-    placed = tree.trace_tree(spans(spark, rows), max_doublings=8).cache()
+    rows += [row("c0", 302, trace="cycle"), row("me", 303, parent="me", trace="cycle")]
+    rows += [row("under", 304, parent="c1", trace="cycle")]
+    placed = tree.trace_tree(spans(spark, rows)).cache()
     got = {r["span_id"]: (r["root_id"], r["depth"]) for r in placed.collect()}
     assert got["d69"] == ("d0", 69) and got["d1"] == ("d0", 1)
     assert got["o1"] == ("o1", 0) and got["o2"] == ("o1", 1)
-    assert "c1" not in got and "c2" not in got and got["c0"] == ("c0", 0)
-    assert len(got) == len(rows) - 2
+    assert got["c1"] == got["c2"] == got["me"] == got["under"] == (None, None) and got["c0"] == ("c0", 0)
+    assert len(got) == len(rows)
+    circling = {r["span_id"] for r in tree.cyclic_spans(spans(spark, rows)).collect()}
+    assert circling == {"c1", "c2", "me", "under"}
     flat = [r["span_id"] for r in tree.flatten_tree(placed.filter("trace_id = 'wide'")).collect()]
     children = sorted((f"2024-01-0{1 + i % 3}", f"w{i}") for i in range(1, 40))
     assert flat == ["w"] + [name for _, name in children]
@@ -98,6 +101,16 @@ def test_deep_wide_orphaned_and_cyclic_trees(spark):
     assert deep == [f"d{i}" for i in range(70)]
 
 
+def test_very_deep_trees_and_many_cyclic_spans(spark):
+    n = 10_000
+    ring = spark.range(n).selectExpr("'ring' trace_id", "concat('r', id) span_id", f"concat('r', (id + 1) % {n}) parent_span_id")
+    deep = spark.range(1100).selectExpr("'deep' trace_id", "concat('d', id) span_id", "IF(id = 0, null, concat('d', id - 1)) parent_span_id")
+    both = ring.union(deep).withColumn("started_at", F.lit("2024-01-01").cast("timestamp"))
+    assert tree.cyclic_spans(both).agg(F.count("*"), F.min("trace_id"), F.max("trace_id")).first() == (n, "ring", "ring")
+    depths = tree.trace_tree(both).groupBy("trace_id").agg(F.max("depth").alias("depth"), F.count("depth").alias("n"))
+    assert {r["trace_id"]: (r["depth"], r["n"]) for r in depths.collect()} == {"ring": (None, 0), "deep": (1099, 1100)}
+
+
 def test_timeline(spark):
     df = spans(
         spark,
