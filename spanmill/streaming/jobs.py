@@ -6,6 +6,7 @@ import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
@@ -30,6 +31,8 @@ def micro_batch_writer(df: DataFrame, interval: str | None = FLUSH_INTERVAL) ->
     return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
 
 
+_STORED = """span_id string, trace_id string, parent_span_id string, name string, arrival_seq bigint,
+  ingest_batch int, project_id string, date date"""
 #: Days before a span in which its trace's root is looked for.
 ROOT_DAYS = 1
 
@@ -67,7 +70,8 @@ def _stored_before(spark: SparkSession, root: str, batch_id: int, low, high) ->
     see its own); only folders of these days are read."""
     if low is None or not _exists(spark, root):
         return None
-    stored = spark.read.option("basePath", root).parquet(root)
+    # With a schema, as batches without rows leave no files to take one from.
+    stored = spark.read.schema(_STORED).option("basePath", root).parquet(root)
     return stored.filter(F.col("ingest_batch") < batch_id).filter(F.col("date").between(F.lit(low), F.lit(high)))
 
 
@@ -247,9 +251,8 @@ def _firings_before(spark: SparkSession, root: str, batch_id: int, like: DataFra
     its own); only folders of these days are read."""
     if not _exists(spark, root):
         return like.limit(0)
-    stored = spark.read.option("basePath", root).parquet(root)
-    if "date" not in stored.columns:
-        return like.limit(0)
+    schema = T.StructType([*like.schema.fields]).add("ingest_batch", T.IntegerType()).add("date", T.DateType())
+    stored = spark.read.schema(schema).option("basePath", root).parquet(root)
     recent = stored.filter(F.col("ingest_batch") < batch_id).filter(F.col("date") >= F.to_date(since))
     return recent.filter(F.col("tick") > since).select(*like.columns)
 
