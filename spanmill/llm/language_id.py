@@ -228,6 +228,14 @@ def fit(docs: DataFrame) -> Network:
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out()).select(
         "doc_id", "lang", F.xxhash64("doc_id").alias("draw")
     )
+    # The smallest draws of a language: rows above a mark that leaves some more than are wanted
+    # do not travel, so no task gathers a language. The counts are one row per language.
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    wanted = DOCS_PER_LANGUAGE + 10 * DOCS_PER_LANGUAGE**0.5
+    marks = [F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, wanted / n))]
+    drawn = F.col("draw") / float(1 << 64) + 0.5
+    if marks:
+        labelled = labelled.filter(drawn <= F.element_at(F.create_map(*marks), F.col("lang")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
     chosen = labelled.withColumn("k", rank).filter(F.col("k") <= DOCS_PER_LANGUAGE).select("doc_id", "lang", "draw").distinct()
     place = F.pmod(F.col("draw"), F.greatest(F.lit(1), F.length("text") - CHARS_PER_DOC)) + 1
