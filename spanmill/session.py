@@ -70,5 +70,23 @@ def written(df: DataFrame, name: str, *partition_cols: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = work_path(spark, name)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.partitionBy(*partition_cols).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Paths of the tables that each application has written as intermediate results.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Remove all tables of this application from :func:`written`; returns their number.
+
+    For when the results are saved: frames that were built on them can no longer be read.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)

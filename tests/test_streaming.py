@@ -189,6 +189,26 @@ def test_stream_traces_equal_batch_over_many_files(spark, tmp_path):
     assert got == sorted(map(str, trace_rollup(spans).collect()))
 
 
+def test_intermediate_tables_can_be_dropped():
+    import os
+    import subprocess
+    import sys
+
+    # In a process of its own: other tests still read their tables.
+    code = """
+import glob, tempfile
+from spanmill.session import build_session, drop_written, written
+shared = tempfile.mkdtemp()
+spark = build_session("local[1]", **{"spark.checkpoint.dir": shared, "spark.ui.showConsoleProgress": "false"})
+assert written(spark.range(3), "kept").count() == 3 and glob.glob(shared + "/kept-*")
+assert drop_written(spark) == 1 and not glob.glob(shared + "/kept-*") and drop_written(spark) == 0
+spark.stop()
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_shared_folder_is_the_configured_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert work_path(spark, "x").startswith(shared_dir(spark))
