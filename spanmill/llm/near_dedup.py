@@ -25,8 +25,11 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: A pair at 0.8 shares no band with probability (1 - 0.8^7)^48 = 1.2e-5.
 BANDS, ROWS = 48, 7
 REGISTERS = BANDS * ROWS
-#: One bit of each register in 6 longs; pairs at 0.8 differ in 34 +- 5.5 bits of 336.
-MOST_BITS = 64
+#: Four bits of each register are kept. Of 336 registers 63 +- 7.2 differ at 0.8; pairs of
+#: which more than 96 differ (4.6 deviations) count as less than similar.
+WORDS_OF_BITS, MOST_DIFFERENT = -(-REGISTERS * 4 // 64), 96
+#: One bit of each register, the marks, puts pairs in order: 34 +- 5.5 differ at 0.8.
+WORDS_OF_MARKS, STEPS = -(-REGISTERS // 64), (20, 28, 34, 40, 48, 64, REGISTERS)
 #: Ids of candidate texts (16 bytes each) up to this number are broadcast.
 BROADCAST_ROWS = 500_000
 _HASH_BITS = 52
@@ -148,11 +151,11 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-SIGNED = "doc_id long, node binary, keys array<bigint>, bits array<bigint>"
+SIGNED = "doc_id long, node binary, keys array<bigint>, bits array<bigint>, marks array<bigint>"
 
 
 def signed_documents(docs: DataFrame) -> DataFrame:
-    """Per document the digest of its text, its band keys and one bit of each register; no
+    """Per document the digest of its text, its band keys and four bits of each register; no
     keys if the text has no words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +167,13 @@ def signed_documents(docs: DataFrame) -> DataFrame:
                 names = signatures(hashes, counts, cuts)
                 some = np.diff(cuts) > 0
                 n_keys = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
-                padded = np.zeros((len(names), -(-REGISTERS // 64) * 64), np.uint8)
+                nibbles = np.zeros((len(names), WORDS_OF_BITS * 16), np.uint8)
+                nibbles[:, :REGISTERS] = names & 15
+                bits = np.ascontiguousarray(nibbles[:, ::2] | nibbles[:, 1::2] << 4).view("<i8")
+                padded = np.zeros((len(names), WORDS_OF_MARKS * 64), np.uint8)
                 padded[:, :REGISTERS] = names & 1
-                bits = np.packbits(padded, axis=1, bitorder="little").view("<i8")
+                marks = np.packbits(padded, axis=1, bitorder="little").view("<i8")
+                n_marks = np.arange(len(names) + 1, dtype=np.int32) * marks.shape[1]
                 n_bits = np.arange(len(names) + 1, dtype=np.int32) * bits.shape[1]
                 cut = offsets.tolist()
                 view = raw.tobytes()
@@ -176,6 +183,7 @@ def signed_documents(docs: DataFrame) -> DataFrame:
                         "node": pa.array([hashlib.md5(view[a:b]).digest() for a, b in zip(cut, cut[1:])], pa.binary()),
                         "keys": pa.ListArray.from_arrays(pa.array(n_keys), pa.array(band_keys(names)[some].ravel(), pa.int64())),
                         "bits": pa.ListArray.from_arrays(pa.array(n_bits), pa.array(bits.ravel(), pa.int64())),
+                        "marks": pa.ListArray.from_arrays(pa.array(n_marks), pa.array(marks.ravel(), pa.int64())),
                     }
                 )
 
@@ -221,24 +229,53 @@ def _similar(pairs: DataFrame, shingled: DataFrame, least: float) -> DataFrame:
     return map_arrow(pairs.join(left, "a").join(right, "b"), work, "a binary, b binary")
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFrame:
-    """Pairs of one bucket that are not in one component yet and may be similar.
+def _differ(x: Column, y: Column) -> Column:
+    """Number of registers whose four bits differ."""
 
-    All members against those outside the bucket's largest component: what is already one
-    component is not compared again. The registers' bits are compared within the join.
+    def changed(p: Column, q: Column) -> Column:
+        d = p.bitwiseXOR(q)
+        any_bit = d.bitwiseOR(F.shiftright(d, 1)).bitwiseOR(F.shiftright(d, 2)).bitwiseOR(F.shiftright(d, 3))
+        return F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.aggregate(F.zip_with(x, y, changed), F.lit(0), lambda total, n: total + n)
+
+
+def _open_pairs(members: DataFrame, labels: DataFrame, signs: DataFrame, above: int, upto: int) -> DataFrame | None:
+    """Pairs of one bucket, not in one component yet, of which more than ``above`` and at most
+    ``upto`` marks (one bit of each register) differ; None if every bucket is within one component.
+
+    All members of a bucket against those outside its largest component. A pair comes from
+    the least bucket that it shares, so no pair comes twice and none is looked for again.
     """
-    own = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    own = written(own, "labelled-members")
+    own = written(members.join(labels, "node").select("key", "node", "label"), "labelled-members")
     mixed = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    rest = written(own.join(mixed, "key", "left_semi").join(bits, "node"), "open-members")
+    rest = written(own.join(mixed, "key", "left_semi"), "open-members")
+    if rest.isEmpty():
+        return None
     sizes = rest.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("large"))
-    sized = written(rest.join(sizes, "key"), "sized-members")
-    left = sized.filter("label <> large").select("key", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("bits").alias("bits_a"))
-    right = sized.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), "large", F.col("bits").alias("bits_b"))
-    differ = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(-(-REGISTERS // 64))), F.lit(0))
-    once = (F.col("label_b") == F.col("large")) | (F.col("a") < F.col("b"))
-    pairs = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("label_a") != F.col("label_b")) & once & (differ <= MOST_BITS))
-    return pairs.select("a", "b").distinct()
+    sized = written(rest.join(sizes, "key").join(signs, "node"), "sized-members")
+    # A few single columns are compared first, in compiled code; the rest of the condition is
+    # only worked out for pairs that pass.
+    sized = sized.withColumns({f"m{k}": F.get("marks", F.lit(k)) for k in range(WORDS_OF_MARKS)})
+    carried = ("node", "label", "bits", "keys", *(f"m{k}" for k in range(WORDS_OF_MARKS)))
+    left = sized.filter("label <> large").select("key", *[F.col(c).alias(f"{c}_a") for c in carried])
+    right = sized.select("key", "large", *[F.col(c).alias(f"{c}_b") for c in carried])
+    once = (F.col("label_b") == F.col("large")) | (F.col("node_a") < F.col("node_b"))
+    marked = sum((F.bit_count(F.col(f"m{k}_a").bitwiseXOR(F.col(f"m{k}_b"))) for k in range(WORDS_OF_MARKS)), F.lit(0))
+    alike = _differ(F.col("bits_a"), F.col("bits_b")) <= MOST_DIFFERENT
+    least_shared = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("l.key")
+    apart = (F.col("label_a") != F.col("label_b")) & once & marked.between(above + 1, upto) & alike & least_shared
+    pairs = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & apart)
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def _merged_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` after joining the components that ``edges`` connect."""
+    left = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    right = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    between = edges.join(left, "a").join(right, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    found = components(between).select(F.col("node").alias("label"), F.col("label").alias("higher"))
+    return written(labels.join(found, "label", "left").select("node", F.coalesce("higher", "label").alias("label")), "labels")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -259,13 +296,28 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     chosen = F.broadcast(nodes) if few else nodes
     texts = texts_of(docs).select(digest(F.col("text")).alias("node"), "text").join(chosen, "node", "left_semi").dropDuplicates(["node"])
     shingled = written(_shingled(texts), "candidate-shingles")
+    signs = signed.join(chosen, "node", "left_semi").select("node", "bits", "marks", "keys").dropDuplicates(["node"])
+    signs = written(signs, "candidate-signs")
+    labels = nodes.withColumn("label", F.col("node"))
+    # First every member against its bucket's least text, which joins most of a large group.
     to_pivot = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    edges = written(_similar(to_pivot, shingled, least), "similar-pairs")
-    labels = components(edges)
-    bits = signed.join(chosen, "node", "left_semi").select("node", "bits").dropDuplicates(["node"])
-    more = written(_similar(_open_pairs(members.select("key", "node"), labels, bits), shingled, least), "similar-pairs")
-    if not more.isEmpty():
-        labels = components(edges.unionByName(more))
+    bits = signs.select("node", "bits")
+    left, right = bits.toDF("a", "bits_a"), bits.toDF("b", "bits_b")
+    to_pivot = to_pivot.join(left, "a").join(right, "b").filter(_differ(F.col("bits_a"), F.col("bits_b")) <= MOST_DIFFERENT)
+    edges = written(_similar(to_pivot.select("a", "b"), shingled, least), "similar-pairs")
+    labels = _merged_labels(labels, edges)
+    # Then all that is still apart, most alike first: what joins early is not compared later.
+    above = -1
+    for upto in STEPS:
+        pairs = _open_pairs(members.select("key", "node"), labels, signs, above, upto)
+        if pairs is None:
+            break
+        pairs, above = written(pairs, "open-pairs"), upto
+        if pairs.isEmpty():
+            continue
+        edges = written(_similar(pairs, shingled, least), "similar-pairs")
+        if not edges.isEmpty():
+            labels = _merged_labels(labels, edges)
     texts_of_class = signed.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     placed = written(texts_of_class.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed-texts")
     classes = placed.groupBy("label").agg(F.min("least_id").alias("class_id"))
