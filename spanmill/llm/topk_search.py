@@ -48,21 +48,25 @@ def _total(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda total, part: total + part)
 
 
-def _masks(radius: int) -> list[int]:
-    """Segment values with ``radius`` set bits: at most 12 870, whatever the data."""
-    return [m for m in range(1 << SEGMENT_BITS) if m.bit_count() == radius]
+def _masks(radius: int) -> Column:
+    """Segment values with ``radius`` set bits: at most 12 870, whatever the data. A constant
+    text, which the planner turns into one array."""
+    masks = [str(m) for m in range(1 << SEGMENT_BITS) if m.bit_count() == radius]
+    return F.split(F.lit(",".join(masks)), ",").cast("array<int>")
 
 
 def _probe(queries: DataFrame, index: DataFrame, radius: int) -> DataFrame:
     """Codes that first agree with a query at this radius, each once, with the distance."""
-    values = F.transform(F.lit(_masks(radius)).cast("array<int>"), lambda m: m.bitwiseXOR(F.col("own")))
+    values = F.transform(_masks(radius), lambda m: m.bitwiseXOR(F.col("own")))
     probes = (
         queries.select("query", F.posexplode("query").alias("segment", "own"))
         .select("query", "segment", F.explode(values).alias("value"))
     )
     parts = _distances(F.col("query"), F.col("code"))
     return (
-        probes.join(index, ["segment", "value"])
+        # Planned as a merge join: the planner takes the probes for as few as the queries, and
+        # would broadcast them.
+        probes.hint("merge").join(index, ["segment", "value"])
         .withColumn("parts", parts)
         # Found before at a smaller radius, or now by an earlier segment: not again.
         .filter((F.array_min("parts") == radius) & (F.array_position("parts", F.lit(radius)) == F.col("segment") + 1))
