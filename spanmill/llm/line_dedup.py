@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from spanmill.session import written
 
-#: Lines with fewer words are always kept, and near lines need so many.
-LEAST_WORDS, LEAST_NEAR_WORDS = 3, 8
+#: Lines with fewer words are kept unless asked for. Near lines need so many, so that the one
+#: word by which they may differ is at most a fifth of either.
+LEAST_WORDS, LEAST_NEAR_WORDS = 2, 5
 #: Running sums of lines up to this length are made in the row, of longer ones in windows.
 LONG_LINE_WORDS = 2048
 #: Candidate lines up to this number (24 bytes each) are broadcast, more are joined by shuffle.
@@ -28,14 +29,15 @@ def _words(line: Column) -> Column:
     return F.split(F.trim(line), " ")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, least_words: int) -> DataFrame:
     """(id, digest, place, line, words) of each line that may be dropped. Rows that are equal
     in id and text are one document."""
     keyed = docs.select(
         F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("digest"), "text"
     )
     lines = keyed.select("id", "digest", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    lines = lines.withColumn("words", _words(F.col("line"))).filter(F.size("words") >= LEAST_WORDS)
+    lines = lines.withColumn("words", _words(F.col("line"))).filter(F.size("words") >= least_words)
+    lines = lines.filter((F.size("words") > 1) | F.col("line").rlike(r"\S"))
     return lines.withColumns(
         {"h1": F.xxhash64(F.trim("line")), "h2": F.xxhash64(F.lit(1), F.trim("line"))}
     )
@@ -151,17 +153,17 @@ def _one_word_apart(a: Column, b: Column) -> Column:
     return (most - least <= 1) & (shared >= F.when(most == least, least - 1).otherwise(least))
 
 
-def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
     """(distinct lines with first place and whether near an earlier one, all lines)."""
     near = F.size("words") >= LEAST_NEAR_WORDS
     halves = F.when(near, _half_keys(F.col("words"))).alias("halves")
-    lines = written(_lines(docs).select("h1", "h2", "id", "digest", "place", halves), "lines")
+    lines = written(_lines(docs, least_words).select("h1", "h2", "id", "digest", "place", halves), "lines")
     first = F.min(F.struct("id", "digest", "place")).alias("first")
     distinct = written(lines.groupBy("h1", "h2").agg(first, F.count("*").alias("n")), "distinct-lines")
     candidates = written(_candidates(lines), "candidate-lines")
     few = candidates.count() <= BROADCAST_ROWS
     chosen = F.broadcast(candidates) if few else candidates
-    texts = _lines(docs).filter(near).join(chosen, "h1", "left_semi").groupBy("h1", "h2").agg(F.any_value("words").alias("words"))
+    texts = _lines(docs, least_words).filter(near).join(chosen, "h1", "left_semi").groupBy("h1", "h2").agg(F.any_value("words").alias("words"))
     texts = written(_with_sums(texts), "candidate-texts")
     firsts = distinct.select("h1", "h2", "first").join(chosen, "h1", "left_semi")
     links = _links(_shared_variants(texts), firsts)
@@ -176,18 +178,19 @@ def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return distinct.join(near_lines.withColumn("near", F.lit(True)), ["h1", "h2"], "left"), lines
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` plus n_lines, n_repeated and n_near; ``text`` without the lines that occur
     earlier in (doc_id, text hash, line) order, or of which an earlier distinct line is one
     word apart (a word more, less or other; even if that line was dropped itself).
 
     Lines are cut at newlines and compared without outer spaces; words are cut at single
-    spaces. Lines of fewer than LEAST_WORDS words stay, and near lines need LEAST_NEAR_WORDS.
+    spaces. Lines of fewer than ``least_words`` words stay (1: only blank ones do), and near
+    lines need LEAST_NEAR_WORDS.
     Null text stays null with counts of 0; empty text is one line that stays; null ids come
     first; rows equal in id and text are one document and get the same result. Other columns
     stay as they are.
     """
-    marked, lines = dropped_lines(docs)
+    marked, lines = dropped_lines(docs, least_words)
     # Joined on a key made of both hashes, so both sides are dealt anew and a line that is a
     # large part of the corpus can be split.
     both = F.xxhash64("h1", "h2").alias("h")

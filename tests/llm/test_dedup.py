@@ -104,6 +104,23 @@ def test_odd_lines(make_docs):
     assert dedup_lines(make_docs([])).count() == 0
 
 
+def test_short_lines(make_docs):
+    texts = [
+        "Stteen Erachtz.\n\nOf.\none two three\na b c d e",
+        "Stteen Erachtz.\n\nOf.\none two four\na b x d e\nk l m n o p q r",
+        "Stteen  Erachtz.\n \nOf.\na b c d\nk l m n o q r\n Stteen Erachtz. ",
+    ]
+    want = [
+        (texts[0], 0, 0),
+        ("\nOf.\none two four\nk l m n o p q r", 1, 1),
+        ("Stteen  Erachtz.\n \nOf.\na b c d", 1, 1),
+    ]
+    assert line_rows(dedup_lines(make_docs(texts))) == dict(enumerate(want))
+    # Down to single words: blank lines stay.
+    every = line_rows(dedup_lines(make_docs(texts), least_words=1))
+    assert every == {k: (t.replace("\nOf.", "") if k else t, r + (k > 0), n) for k, (t, r, n) in enumerate(want)}
+
+
 def shingles(text):
     words = text.split()
     return Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else Counter()
