@@ -279,8 +279,10 @@ def _merged_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, copies, node): class_id is the least doc_id of all documents that
-    similar pairs connect, copies the number of documents with the same text.
+    """(doc_id, class_id, copies, node, class_key): class_id is the least doc_id of all documents
+    that similar pairs connect, copies the number of documents with the same text. class_key
+    names the class (its least text's digest, in hex); class_id does not where ids repeat or
+    are null.
 
     Similar: probability Jaccard of counted five-word shingles of at least ``least`` (equal
     texts always). Null text: empty; texts without words are similar to equal texts only.
@@ -321,20 +323,20 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     texts_of_class = signed.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     placed = written(texts_of_class.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed-texts")
     classes = placed.groupBy("label").agg(F.min("least_id").alias("class_id"))
-    of_text = written(placed.join(written(classes, "classes"), "label").select("node", "class_id", "copies"), "text-classes")
-    return signed.select("doc_id", "node").join(of_text, "node").select("doc_id", "class_id", "copies", "node")
+    of_text = written(placed.join(written(classes, "classes"), "label").select("node", "class_id", "copies", F.lower(F.hex("label")).alias("class_key")), "text-classes")
+    return signed.select("doc_id", "node").join(of_text, "node").select("doc_id", "class_id", "copies", "node", "class_key")
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class: the one with the least id (of rows that
     repeat this id too, one with the least text digest). All columns stay as they are."""
     found = near_duplicates(docs, least)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "class_id").agg(F.min("node").alias("kept"), F.count("*").alias("n"))
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_key", "doc_id").agg(F.min("node").alias("kept"), F.count("*").alias("n"))
     kept = written(kept.select("doc_id", "kept", "n"), "kept-ids")
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
     rows = rows.withColumns({"id": F.col("row.doc_id"), "node": digest(F.coalesce("row.text", F.lit("")))})
     joined = rows.join(kept, rows["id"].eqNullSafe(kept["doc_id"]) & (F.col("node") == F.col("kept")))
     if not kept.filter("n > 1").isEmpty():
-        joined = joined.dropDuplicates(["id"])
+        joined = joined.dropDuplicates(["id", "node"])
     return joined.select("row.*")

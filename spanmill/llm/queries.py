@@ -84,7 +84,7 @@ SELECT query_id, rank, neighbor_id, distance FROM ranked WHERE rank <= 10
 
 @query
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "copies")
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "copies", "class_key")
 
 
 @query

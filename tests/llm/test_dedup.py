@@ -217,6 +217,20 @@ def test_one_of_each_stays(make_docs):
     assert drop_near_duplicates(make_docs(["a b", "a b"], [None, None])).count() == 1
 
 
+def test_classes_under_one_id(make_docs):
+    base = " ".join(f"w{k}" for k in range(100))
+    texts = ["first text", "second text", "second text", base, base + " more", "third text", "fourth text", "fourth text"]
+    docs = make_docs(texts, [None, None, None, None, None, 5, 5, 5])
+    groups = {}
+    for r in near_duplicates(docs).collect():
+        groups.setdefault(r.class_key, []).append((r.doc_id, r.class_id))
+    assert sorted(map(len, groups.values())) == [1, 1, 2, 2, 2]
+    assert all(a == b for g in groups.values() for a, b in g)
+    kept = sorted((r.text for r in drop_near_duplicates(docs).collect()), key=len)
+    assert sorted(kept[:4]) == ["first text", "fourth text", "second text", "third text"]
+    assert len(kept) == 5 and kept[4] in texts[3:5]
+
+
 def test_components_of_stars_chains_and_rings(spark):
     draw = random.Random(1)
     edges = [(k, 500) for k in range(100)] + [(k, k + 1) for k in range(1000, 1200)] + [(2000, 2001), (2001, 2002), (2002, 2000), (7, 7)]
