@@ -4,7 +4,8 @@ The rules' regular expressions are turned into position sets (Glushkov), combine
 construction without an anchor, minimised, and laid out as one transition array. Texts are
 scanned in many lanes at once, one byte of each lane per step. A byte that sends every state
 to the start can lie in no match, so texts are cut into lanes behind such bytes, and the
-stretch between two of them that holds a hit is all that the exact rule has to look at.
+stretch between two of them that holds a hit is all that the exact rule has to look at. A rule
+whose matches go on behind such bytes (keys of several lines) looks on to the end of the text.
 """
 
 from __future__ import annotations
@@ -25,17 +26,28 @@ from spanmill.llm.common import map_arrow, text_bytes, texts_of
 class Rule:
     """``pattern``: byte regex of classes, groups, |, ?, *, + and {n}; ``any_case`` is for
     groups of letters. ``exact`` finds the matches, leftmost and non-overlapping; group
-    ``part`` (0: all) must have ``least`` characters, or the match is dropped."""
+    ``part`` (0: all) must have ``least`` characters, or the match is dropped. If ``beyond``,
+    ``pattern`` is the beginning of a match, in one line, and ``exact`` goes on from there."""
 
     kind: str
     pattern: str
     exact: str
     part: int
     least: int
+    beyond: bool = False
 
 
 # The three base rules and further well-known token formats.
 _ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+# A private key: all up to its END line, which may be quoted, joined or escaped as in JSON; a key
+# that is cut off goes as far as its header fields and base64 do.
+_KEY_BEGIN = r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----"
+_KEY_WHOLE = r"""(?:[A-Za-z0-9+/=\x20\t\r\n\\"',:;>#*|_@]++|-(?!-)|\.(?=[A-Za-z0-9]))*+-----END\x20(?:[A-Z]+\x20)*PRIVATE\x20KEY-----"""
+_GAP, _BASE64 = r"""(?:[\x20\t\r\n>#"',]|\\[nrt])++""", r"[A-Za-z0-9+/]"
+_KEY_CUT = (
+    rf"(?:{_GAP}[A-Za-z][A-Za-z0-9-]*+:[^\n\\]*+)*(?:{_GAP}{_BASE64}{{16,}}+={{0,2}})++"
+    rf"(?:{_GAP}{_BASE64}{{1,15}}+={{0,2}}(?=[\r\n\\]|\Z))?"
+)
 BASE = (
     Rule("assign", _ASSIGN, _ASSIGN, 2, 12),
     Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]+", 0, 18),
@@ -46,7 +58,7 @@ MORE = (
     Rule("slack", r"xox[abeprs]-[A-Za-z0-9-]+", r"xox[abeprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("google", r"AIza[0-9A-Za-z_-]+", r"AIza[0-9A-Za-z_-]+", 0, 39),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
-    Rule("private_key", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----", 0, 1),
+    Rule("private_key", _KEY_BEGIN, rf"{_KEY_BEGIN}(?:{_KEY_WHOLE}|{_KEY_CUT})?", 0, 1, beyond=True),
 )
 RULES = BASE + MORE
 
@@ -254,7 +266,7 @@ def spans_in(raw: np.ndarray, offsets: np.ndarray, automaton: Automaton, rules:
     resets = np.flatnonzero(automaton.resets[raw])
     doc = np.searchsorted(offsets, at, side="right") - 1
     before = np.searchsorted(resets, at) - 1
-    low = np.maximum(offsets[doc], np.where(before >= 0, resets[np.maximum(before, 0)] + 1, 0))
+    low = np.maximum(offsets[doc], np.where(before >= 0, resets[np.maximum(before, 0)] + 1, 0)) if len(resets) else offsets[doc]
     after = np.searchsorted(resets, at)
     high = np.minimum(offsets[doc + 1], np.where(after < len(resets), resets[np.minimum(after, len(resets) - 1)], len(raw))) if len(resets) else offsets[doc + 1]
     stretches: dict[tuple[int, int, int], int] = {}
@@ -262,11 +274,23 @@ def spans_in(raw: np.ndarray, offsets: np.ndarray, automaton: Automaton, rules:
         stretches[key] = stretches.get(key, 0) | b
     out: dict[int, list[tuple[int, int, int]]] = {}
     counted: dict[int, tuple[int, int]] = {}  # text: bytes and characters counted so far
+    whole: tuple[int, bytes] = (-1, b"")  # text, and its bytes
+    reached: dict[tuple[int, int], int] = {}  # text and rule: end of the last match beyond a stretch
     for (d, a, b), mask in sorted(stretches.items()):
         data = raw[a:b].tobytes()
         spans = []
         for k, rule in enumerate(rules):
-            if mask >> k & 1:
+            if mask >> k & 1 and rule.beyond:
+                first = int(offsets[d])
+                if whole[0] != d:
+                    whole = d, raw[first : offsets[d + 1]].tobytes()
+                for m in exact[k].finditer(whole[1], max(a - first, reached.get((d, k), 0))):
+                    if m.start() >= b - first:
+                        break
+                    reached[d, k] = m.end()
+                    if m.end(rule.part) - m.start(rule.part) >= rule.least:
+                        spans.append((m.start() + first - a, k, m.end() + first - a))
+            elif mask >> k & 1:
                 spans += [(m.start(), k, m.end()) for m in exact[k].finditer(data) if m.end(rule.part) - m.start(rule.part) >= rule.least]
         if not spans:
             continue

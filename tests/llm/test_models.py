@@ -44,6 +44,35 @@ def test_secrets_equal_the_regexes(corpus):
     assert spans_in(*text_bytes(pa.array([long])), automaton, RULES)[0] == brute_spans(long)
 
 
+def test_private_keys_go_whole(make_docs):
+    draw = random.Random(4)
+    body = ["".join(draw.choices("ABCDEFghijkl0123456789+/", k=64)) for _ in range(5)] + ["Zm9vYmFyCg=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D\n\n"
+    plain = "\n".join([begin, *body, end])
+    texts = [
+        f"é before\n{plain}\nafter.",
+        f"x\n{begin}\n{fields}" + "\r\n".join([*body, end]) + f"\nbetween é\n{plain}\ny",
+        '{"key": "' + plain.replace("\n", "\\n") + '\\n", "id": 1}',
+        "> " + plain.replace("\n", "\n> ") + "\n> so.",
+        f"cut off\n{begin}\n{fields}" + "\n".join(body),
+        f"A file begins with {begin} and this. It goes on.\nMore.",
+        plain[: -len(begin)] + begin + plain[len(begin) :],
+    ]
+    masked = {r.doc_id: r.text for r in mask_secrets(make_docs(texts)).collect()}
+    assert all(line not in t for t in masked.values() for line in body)
+    assert masked[0] == "é before\n[SECRET]\nafter." and masked[1] == "x\n[SECRET]\nbetween é\n[SECRET]\ny"
+    assert masked[2] == '{"key": "[SECRET]\\n", "id": 1}' and masked[3] == "> [SECRET]\n> so."
+    assert masked[4] == "cut off\n[SECRET]" and masked[5] == "A file begins with [SECRET] and this. It goes on.\nMore."
+    parts = [begin, begin, end, end[:-5], begin[5:], "\n", "\n", "\\n", " ", "-", "é", ".", ":", "A-B: c", *body]
+    texts += ["".join(draw.choices(parts, k=draw.randint(1, 30))) for _ in range(3000)]
+    found = spans_in(*text_bytes(pa.array(texts)), build_automaton(), RULES)
+    assert all(found.get(k, []) == brute_spans(t) for k, t in enumerate(texts))
+    # Many beginnings and long bodies without an end take time in proportion.
+    long = [f"{begin}\n" * 20_000, f"{begin}\n" + "A" * 2_000_000, f"{begin}\n" + "a b-c " * 300_000]
+    assert [len(x) for x in spans_in(*text_bytes(pa.array(long)), build_automaton(), RULES).values()] == [20_000, 1, 1]
+
+
 def test_minimised_automaton_has_no_equal_states():
     automaton = build_automaton()
     rows = np.concatenate([automaton.hits[:, None], automaton.step.reshape(-1, automaton.n_classes)], axis=1)
