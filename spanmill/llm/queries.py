@@ -18,6 +18,7 @@ from spanmill.llm.quality import quality_scores
 from spanmill.llm.secret_scan import secret_report
 from spanmill.llm.token_shards import token_shards
 from spanmill.llm.topk_search import sign_codes, top_k
+from spanmill.llm.word_bpe import word_digests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,3 +91,8 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
