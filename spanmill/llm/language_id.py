@@ -133,8 +133,11 @@ def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = 5) ->
     rng = np.random.default_rng(seed)
     first = [np.zeros_like(p) for p in net.parameters()]
     second = [np.zeros_like(p) for p in net.parameters()]
+    # More languages than places in a batch take turns, and the steps grow with their number.
+    turns = -(-len(languages) // BATCH)
+    steps *= turns
     for step in range(1, steps + 1):
-        labels = np.arange(BATCH) % len(languages)
+        labels = (np.arange(BATCH) + (step - 1) % turns * BATCH) % len(languages)
         begin = [int(rng.integers(len(pools[k]) - TRAIN_WINDOW)) for k in labels]
         codes = np.stack([pools[k][b : b + TRAIN_WINDOW] for k, b in zip(labels, begin)], axis=1)
         gradients = loss_and_gradients(net, codes, labels)[1]
@@ -253,12 +256,14 @@ PREDICTED = "doc_id long, lang_pred string, score double"
 
 def _predict(net: Network, batch: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
     column = batch.column("text")
+    if not net.languages:
+        return pa.array([UNKNOWN] * len(column), pa.string()), pa.array([0.0] * len(column), pa.float64())
     raw, offsets = text_bytes(column.fill_null(""))
     p = document_probabilities(net, raw, offsets)
     best = p.argmax(axis=1)
     names, scores = [], []
     for r, text in enumerate(column.to_pylist()):
-        if text is None or not net.languages or not _LETTER.search(text):
+        if text is None or not _LETTER.search(text):
             names.append(UNKNOWN)
             scores.append(0.0)
         else:
@@ -289,18 +294,24 @@ def predict_languages(docs: DataFrame, net: Network | None = None) -> DataFrame:
     return predicted.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_languages(docs: DataFrame, least_score: float = 0.3, net: Network | None = None) -> DataFrame:
-    """``docs`` without those whose language cannot be told: ``und``, or a score below
-    ``least_score``. All columns and their values stay."""
+def keep_languages(docs: DataFrame, least_score: float | None = None, net: Network | None = None) -> DataFrame:
+    """``docs`` without those whose language cannot be told: null texts, texts without a letter,
+    or a score below ``least_score`` (default: 1.2 times the score of a guess among the learned
+    languages, at most 0.5). If no language was learned, every text with a letter stays. All
+    columns and their values stay."""
     net = net or fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(net)
+    least = min(0.5, 1.2 / max(1, len(net.languages))) if least_score is None else least_score
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                names, scores = _predict(shared.value, batch)
-                keep = [n != UNKNOWN and s >= least_score for n, s in zip(names.to_pylist(), scores.to_pylist())]
+                if shared.value.languages:
+                    names, scores = _predict(shared.value, batch)
+                    keep = [n != UNKNOWN and s >= least for n, s in zip(names.to_pylist(), scores.to_pylist())]
+                else:
+                    keep = [t is not None and bool(_LETTER.search(t)) for t in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
     return map_arrow(docs, work, docs.schema)

@@ -13,7 +13,7 @@ from oracle import connect, difference
 import corpus_pipeline
 from spanmill.llm import language_id
 from spanmill.llm.common import text_bytes
-from spanmill.llm.language_id import document_probabilities, keep_languages, loss_and_gradients, new_network, predict_languages
+from spanmill.llm.language_id import document_probabilities, keep_languages, loss_and_gradients, new_network, predict_languages, train
 from spanmill.llm.quality import quality_scores
 from spanmill.llm.queries import QUERIES, SQL
 from spanmill.llm.secret_scan import RULES, build_automaton, mask_secrets, secret_spans, spans_in
@@ -224,3 +224,16 @@ def test_pipeline_stages(spark, sf, corpus):
 
     check_packing(rows, list(before.items()))
     assert {r.doc_id for r in rows} == set(before)
+
+
+def test_any_number_of_languages(make_docs):
+    one = make_docs(["some text", "more text", "9 9"], [1, 2, 3], ["aa"] * 3)
+    assert {r.lang_pred for r in predict_languages(one).collect()} == {"aa", "und"}
+    assert keep_languages(one).count() == 2
+    none = make_docs(["some text", "", None, "12"], [1, 2, 3, 4], [None] * 4)
+    assert [r.doc_id for r in keep_languages(none).collect()] == [1]
+    # More languages than a batch has places: each gets its turn, also the last ones.
+    names = [f"l{k:03d}" for k in range(200)]
+    samples = [(n, chr(0x4E00 + 7 * k) * 40) for k, n in enumerate(names)]
+    net, start = train(samples, steps=1), new_network(names)
+    assert (net.bias != start.bias).all() and len(net.languages) == 200
