@@ -435,4 +435,4 @@ def _(spark, sf):
         metrics, d.alerts(spark, sf), root, work_path(spark, "checkpoint"), interval=None
     )
     stream.awaitTermination()
-    return spark.read.option("basePath", root).parquet(root).drop("ingest_batch")
+    return spark.read.option("basePath", root).parquet(root).drop("ingest_batch", "date")
