@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from spanmill.llm.centroids import CLUSTERS, DIMS, ROUNDS, SCALE, SEED, centroid_clusters
 from spanmill.llm.common import documents
 from spanmill.llm.fingerprints import edited_fingerprints
 from spanmill.llm.language_id import predict_languages
@@ -96,3 +97,38 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _centroid_sql() -> str:
+    """The rounds one after the other; sums as whole numbers, means as their exact floor."""
+    near = """SELECT rid, min_by(cluster, d * 64 + cluster) AS cluster, min(d) AS distance FROM (
+        SELECT v.rid, c.cluster, CAST(list_sum(list_transform(range(1, {dims} + 1), lambda i: (v.comps[i] - c.comps[i]) * (v.comps[i] - c.comps[i]))) AS BIGINT) AS d
+        FROM v, {c} c) GROUP BY rid"""
+    steps = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id,
+            list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS comps FROM embeddings
+            WHERE len(embedding) = {DIMS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIMS})""",
+        f"""c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, comps) - 1 AS INTEGER) AS cluster, comps FROM (
+            SELECT sha256('{SEED}:' || CAST(vec_id AS VARCHAR)) AS h, comps FROM v WHERE vec_id IS NOT NULL ORDER BY h, comps LIMIT {CLUSTERS}))""",
+    ]
+    for r in range(ROUNDS):
+        steps.append(f"a{r} AS MATERIALIZED ({near.format(dims=DIMS, c=f'c{r}')})")
+        steps.append(f"""s{r} AS MATERIALIZED (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (
+            SELECT a.cluster, unnest(v.comps) AS x, unnest(range({DIMS})) AS i FROM a{r} a JOIN v USING (rid)) GROUP BY cluster, i)""")
+        steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.comps, c.comps) AS comps FROM c{r} c LEFT JOIN (
+            SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS comps FROM s{r} GROUP BY cluster) m USING (cluster))""")
+    steps.append(f"last AS MATERIALIZED ({near.format(dims=DIMS, c=f'c{ROUNDS}')})")
+    return "WITH " + ",\n".join(steps) + f"""
+    SELECT v.vec_id, a.cluster, a.distance,
+        CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+        CAST(sum(a.distance) OVER () AS BIGINT) AS inertia,
+        sha256(array_to_string(c.comps, ',')) AS centroid_sha256
+    FROM last a JOIN v USING (rid) JOIN c{ROUNDS} c USING (cluster)"""
+
+
+SQL["op12_centroids"] = _centroid_sql()
