@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from spanmill.llm.alignment import token_links
 from spanmill.llm.centroids import CLUSTERS, DIMS, ROUNDS, SCALE, SEED, centroid_clusters
 from spanmill.llm.common import documents
 from spanmill.llm.fingerprints import edited_fingerprints
@@ -132,3 +133,8 @@ def _centroid_sql() -> str:
 
 
 SQL["op12_centroids"] = _centroid_sql()
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
