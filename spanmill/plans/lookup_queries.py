@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from spanmill.operators import search, traces, tree
 from spanmill.plans import derived as d
 from spanmill.plans.registry import placed, query
+from spanmill.session import work_path
+from spanmill.sources import search_index
+from spanmill.sources.batches import read_spans, spans_sink
 
 QUERY = "that tion queque"
 #: Its terms, r and d, are no words of any text, but an agent's name holds it.
@@ -57,6 +60,65 @@ def _(spark, sf):
     return search.matched_terms(d.text_spans(spark, sf), QUERY)
 
 
+def _indexed(spark, sf):
+    """The text spans in the layout of the sink, and their index in two batches."""
+    stored, root = work_path(spark, "text-spans"), work_path(spark, "search-index")
+    spans_sink(d.text_spans(spark, sf), stored)
+    spans = read_spans(spark, stored)
+    for batch in (0, 1):
+        search_index.index_spans(spans.filter(F.pmod(F.xxhash64("trace_id"), F.lit(2)) == batch), root, batch)
+    return spans, root
+
+
+@query(
+    "search_index_page",
+    "text_spans",
+    f"""WITH {_SQL_POSTINGS}, {_SQL_MATCHING}
+    SELECT span_id, trace_id, name, started_at, 1 AS score, length(input) AS input_chars
+    FROM matching WHERE project_id = 'p1' ORDER BY started_at DESC, span_id LIMIT 20 OFFSET 10""",
+)
+def _(spark, sf):
+    spans, root = _indexed(spark, sf)
+    hits = search_index.search_page(spans, root, QUERY, "p1", offset=10, size=20)
+    return hits.select("span_id", "trace_id", "name", "started_at", "score", F.length("input").cast("bigint").alias("input_chars"))
+
+
+@query(
+    "search_index_range",
+    "text_spans",
+    f"""WITH {_SQL_POSTINGS}, {_SQL_MATCHING}
+    SELECT span_id, started_at FROM matching
+    WHERE started_at >= TIMESTAMP '2024-01-02 06:00:00' AND started_at <= TIMESTAMP '2024-01-09 12:00:00'
+    ORDER BY started_at DESC, span_id LIMIT 50""",
+)
+def _(spark, sf):
+    spans, root = _indexed(spark, sf)
+    hits = search_index.search_page(
+        spans, root, QUERY, size=50, start="2024-01-02 06:00:00", end="2024-01-09 12:00:00"
+    )
+    return hits.select("span_id", "started_at")
+
+
+@query(
+    "search_index_total",
+    "text_spans",
+    f"WITH {_SQL_POSTINGS}, {_SQL_MATCHING} SELECT count(*) AS total FROM matching",
+)
+def _(spark, sf):
+    return search_index.search_count(spark, _indexed(spark, sf)[1], QUERY)
+
+
+@query(
+    "search_index_terms",
+    "text_spans",
+    f"""WITH {_SQL_POSTINGS}, q AS (SELECT * FROM (VALUES ('that', 1), ('tion', 1), ('queque', 2)) AS t(term, k))
+    SELECT term, word, count(*) AS spans FROM postings JOIN q ON damerau_levenshtein({_SQL_WORD}, term) <= k
+    GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    return search_index.indexed_terms(spark, _indexed(spark, sf)[1], QUERY)
+
+
 @query(
     "span_detail",
     "text_spans",
