@@ -25,8 +25,11 @@ from spanmill.llm.units import UnitEncoder
 from spanmill.llm.word_bpe import byte_characters, byte_slices
 from spanmill.session import written
 
-#: Bytes of text whose links are kept together in one row (a longer text is a row of its own).
-BLOCK_BYTES = 1_000_000
+#: Bytes of text that are encoded together, and whose links are kept in one row (a longer text is
+#: a row of its own). Rows stay well below what a JVM treats as a huge object.
+ENCODED_BYTES, BLOCK_BYTES = 2_000_000, 400_000
+#: Units and pieces of the byte-level tokenizer kept between batches.
+KEPT_UNITS = 100_000
 #: Ends that are tried one after the other from the middle of an interval.
 NEAR = 12
 
@@ -162,6 +165,7 @@ class Aligner:
         texts = texts.cast(pa.large_string())
         spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string()))
         raw, offsets = text_bytes(spaced)
+        self._forget()
         a_ids, a_cuts = self.units.encode(spaced)
         lists = self.library.encode(texts.to_pylist(), num_threads=1)
         b_cuts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
@@ -175,6 +179,13 @@ class Aligner:
             a_cuts, b_cuts = (np.concatenate([[0], np.cumsum(c)]) for c in (counts_a, counts_b))
         return a_ids.astype(np.int64), a_cuts.astype(np.int64), b_ids, b_cuts
 
+    def _forget(self) -> None:
+        units = self.units
+        if max(len(units.units), len(units.pieces)) > KEPT_UNITS:
+            units.units = units.pieces = pa.array([], pa.large_string())
+            units.values = units.piece_values = np.zeros(0, np.int32)
+            units.offsets = units.piece_offsets = np.zeros(1, np.int64)
+
     def cuts(self, a_ids, a_cuts, b_ids, b_cuts) -> tuple[np.ndarray, np.ndarray]:
         return shared_cuts(np.cumsum(self.a.length[a_ids]), a_cuts, np.cumsum(self.b.length[b_ids]), b_cuts)
 
@@ -212,7 +223,7 @@ def token_groups(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(first.value, second.value)
         for whole in batches:
-            for batch in byte_slices(whole, BLOCK_BYTES):
+            for batch in byte_slices(whole, ENCODED_BYTES):
                 a_ids, a_cuts, b_ids, b_cuts = own.encode(batch.column("text"))
                 at_a, at_b = own.cuts(a_ids, a_cuts, b_ids, b_cuts)
                 bounds = np.searchsorted(at_a, a_cuts, side="left")
@@ -246,27 +257,30 @@ def link_blocks(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task, k = aligner(first.value, second.value), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in byte_slices(whole, BLOCK_BYTES):
+            for batch in byte_slices(whole, ENCODED_BYTES):
                 a_ids, a_cuts, b_ids, b_cuts = own.encode(batch.column("text"))
                 at_a, at_b = own.cuts(a_ids, a_cuts, b_ids, b_cuts)
                 bounds = np.searchsorted(at_a, a_cuts, side="left")
                 groups = own.group_texts(a_ids, b_ids, at_a, at_b, bounds).cast(pa.large_binary())
-                n_links = np.diff(bounds)
+                n_links, links = np.diff(bounds), a_ids[at_a] << 32 | b_ids[at_b]
                 digests = [hashlib.sha256(g.as_buffer()).hexdigest() if n else "" for g, n in zip(groups, n_links.tolist())]
-                pairs, slots, times = np.unique(a_ids[at_a] << 32 | b_ids[at_b], return_inverse=True, return_counts=True)
                 columns = [batch.column("doc_id"), np.diff(a_cuts), np.diff(b_cuts), n_links, digests]
                 table = pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, _DOCS)], schema=_DOCS)
-                ends = pa.array([0, len(pairs)], pa.int32())
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "block": pa.array([task << 32 | k], pa.int64()),
-                        "pairs": pa.ListArray.from_arrays(ends, pa.array(pairs, pa.int64())),
-                        "times": pa.ListArray.from_arrays(ends, pa.array(times, pa.int64())),
-                        "docs": pa.array([_packed(table)], pa.binary()),
-                        "slots": pa.array([slots.astype(_slot_type(len(pairs))).tobytes()], pa.binary()),
-                    }
-                )
-                k += 1
+                at = 0
+                for part in byte_slices(batch, BLOCK_BYTES):
+                    stop = at + part.num_rows
+                    pairs, slots, times = np.unique(links[bounds[at] : bounds[stop]], return_inverse=True, return_counts=True)
+                    ends = pa.array([0, len(pairs)], pa.int32())
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "block": pa.array([task << 32 | k], pa.int64()),
+                            "pairs": pa.ListArray.from_arrays(ends, pa.array(pairs, pa.int64())),
+                            "times": pa.ListArray.from_arrays(ends, pa.array(times, pa.int64())),
+                            "docs": pa.array([_packed(table.slice(at, stop - at))], pa.binary()),
+                            "slots": pa.array([slots.astype(_slot_type(len(pairs))).tobytes()], pa.binary()),
+                        }
+                    )
+                    at, k = stop, k + 1
 
     return map_arrow(texts_of(docs), work, BLOCKS)
 

@@ -71,6 +71,14 @@ def test_groups_against_brute_force(libraries, own_aligner, texts):
         assert groups[k].as_py() == written_groups(want)
 
 
+def test_forgotten_units_change_nothing(own_aligner, monkeypatch):
+    texts = pa.array(["some words here", "and other words", "some words here"])
+    want = [x.tolist() for x in own_aligner.encode(texts)]
+    monkeypatch.setattr(alignment, "KEPT_UNITS", 1)
+    for _ in range(2):
+        assert [x.tolist() for x in own_aligner.encode(texts)] == want
+
+
 @pytest.fixture(scope="module")
 def own_aligner():
     with open(BYTES, "rb") as first, open(PIECES, "rb") as second:
@@ -119,6 +127,7 @@ def test_whole_query(spark, sf, corpus, libraries):
 
 def test_many_blocks(make_docs, libraries, monkeypatch):
     monkeypatch.setattr(alignment, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(alignment, "ENCODED_BYTES", 1000)
     texts = [*ODD, *[f"the same words {k % 7} and more" for k in range(120)]]
     check_links(token_links(make_docs(texts), BYTES, PIECES).collect(), list(enumerate(texts)), libraries)
 
