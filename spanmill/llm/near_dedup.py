@@ -25,11 +25,14 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: A pair at 0.8 shares no band with probability (1 - 0.8^7)^48 = 1.2e-5.
 BANDS, ROWS = 48, 7
 REGISTERS = BANDS * ROWS
-#: Four bits of each register are kept. Of 336 registers 63 +- 7.2 differ at 0.8; pairs of
-#: which more than 96 differ (4.6 deviations) count as less than similar.
+#: Candidates keep a bitmap of their shingles, which bounds the exact similarity from above. It
+#: fills up in texts with more shingles than bits.
+BITMAP_BITS = 2048
+#: Those also compare four bits of each register. Of 336 registers 63 +- 7.2 differ at 0.8; pairs
+#: of such texts of which more than 96 differ (4.6 deviations) count as less than similar.
 WORDS_OF_BITS, MOST_DIFFERENT = -(-REGISTERS * 4 // 64), 96
 #: One bit of each register, the marks, puts pairs in order: 34 +- 5.5 differ at 0.8.
-WORDS_OF_MARKS, STEPS = -(-REGISTERS // 64), (20, 28, 34, 40, 48, 64, REGISTERS)
+WORDS_OF_MARKS, STEPS = -(-REGISTERS // 64), (34, REGISTERS)
 #: Ids of candidate texts (16 bytes each) up to this number are broadcast.
 BROADCAST_ROWS = 500_000
 _HASH_BITS = 52
@@ -190,11 +193,18 @@ def signed_documents(docs: DataFrame) -> DataFrame:
     return map_arrow(texts_of(docs), work, SIGNED)
 
 
-SHINGLED = "node binary, names binary, counts binary"
+SHINGLED = "node binary, names binary, counts binary, bitmap array<bigint>, weight long"
+
+
+def bitmaps(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(texts, words of 64 bits): bit ``h % BITMAP_BITS`` is set for every shingle h."""
+    out = np.zeros((len(offsets) - 1, BITMAP_BITS), bool)
+    out[np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), (hashes % _U(BITMAP_BITS)).astype(np.int64)] = True
+    return np.packbits(out, axis=1, bitorder="little").view("<i8")
 
 
 def _shingled(texts: DataFrame) -> DataFrame:
-    """Weighted shingles of candidate texts; empty counts: all one."""
+    """Weighted shingles of candidate texts (empty counts: all one), bitmap and total weight."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -205,7 +215,15 @@ def _shingled(texts: DataFrame) -> DataFrame:
                 for a, b in zip(cut := cuts.tolist(), cut[1:]):
                     names.append(hashes[a:b].astype("<u8").tobytes())
                     weights.append(b"" if (counts[a:b] == 1).all() else counts[a:b].astype("<u4").tobytes())
-                yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "names": pa.array(names, pa.binary()), "counts": pa.array(weights, pa.binary())})
+                maps = bitmaps(hashes, cuts)
+                ends = pa.array(np.arange(len(maps) + 1) * maps.shape[1], pa.int32())
+                totals = np.diff(np.concatenate([[0], np.cumsum(counts)])[cuts])
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "node": batch.column("node"), "names": pa.array(names, pa.binary()), "counts": pa.array(weights, pa.binary()),
+                        "bitmap": pa.ListArray.from_arrays(ends, pa.array(maps.ravel(), pa.int64())), "weight": pa.array(totals, pa.int64()),
+                    }
+                )
 
     return map_arrow(texts, work, SHINGLED)
 
@@ -240,9 +258,32 @@ def _differ(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, changed), F.lit(0), lambda total, n: total + n)
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, signs: DataFrame, above: int, upto: int) -> DataFrame | None:
-    """Pairs of one bucket, not in one component yet, of which more than ``above`` and at most
-    ``upto`` marks (one bit of each register) differ; None if every bucket is within one component.
+def _may_be_similar(least: float) -> Column:
+    """False only for pairs (columns ``_a`` and ``_b``) below ``least``.
+
+    For weights x, y with totals X, Y, of which Xo and Yo are on shingles that the other lacks, a
+    common shingle adds 1 / sum_e max(x_e / x, y_e / y) <= 1 / (X / x + Yo / y). That is concave
+    and homogeneous in (x, y), so all of them add at most 1 / (X / (X - Xo) + Yo / (Y - Yo)).
+    Every bit of one bitmap that the other lacks is such a shingle, with a weight of at least 1.
+    Texts that may have filled their bitmap must be alike in their registers as well.
+    """
+    words = range(BITMAP_BITS // 64)
+
+    def only(one: str, other: str) -> Column:
+        bits = [F.bit_count(F.get(f"bitmap_{one}", F.lit(k)).bitwiseAND(F.bitwise_not(F.get(f"bitmap_{other}", F.lit(k))))) for k in words]
+        return sum(bits[1:], bits[0]).cast("double")
+
+    x, y = F.col("weight_a").cast("double"), F.col("weight_b").cast("double")
+    rest_x, rest_y = x - only("a", "b"), y - only("b", "a")
+    bounded = x * rest_y + (y - rest_y) * rest_x <= (1 / max(least, 1e-9) + 1e-9) * rest_x * rest_y
+    light = F.least("weight_a", "weight_b") <= BITMAP_BITS
+    return bounded & (light | (_differ(F.col("bits_a"), F.col("bits_b")) <= MOST_DIFFERENT))
+
+
+def _open_pairs(members: DataFrame, labels: DataFrame, signs: DataFrame, above: int, upto: int, least: float) -> DataFrame | None:
+    """Pairs of one bucket, not in one component yet, that may be similar and of which more than
+    ``above`` and at most ``upto`` marks (one bit of each register) differ; None if every bucket
+    is within one component.
 
     All members of a bucket against those outside its largest component. A pair comes from
     the least bucket that it shares, so no pair comes twice and none is looked for again.
@@ -257,18 +298,25 @@ def _open_pairs(members: DataFrame, labels: DataFrame, signs: DataFrame, above:
     # A few single columns are compared first, in compiled code; the rest of the condition is
     # only worked out for pairs that pass.
     sized = sized.withColumns({f"m{k}": F.get("marks", F.lit(k)) for k in range(WORDS_OF_MARKS)})
-    carried = ("node", "label", "bits", "keys", *(f"m{k}" for k in range(WORDS_OF_MARKS)))
+    carried = ("node", "label", "bits", "keys", "bitmap", "weight", *(f"m{k}" for k in range(WORDS_OF_MARKS)))
     left = sized.filter("label <> large").select("key", *[F.col(c).alias(f"{c}_a") for c in carried])
     right = sized.select("key", "large", *[F.col(c).alias(f"{c}_b") for c in carried])
     once = (F.col("label_b") == F.col("large")) | (F.col("node_a") < F.col("node_b"))
     marked = sum((F.bit_count(F.col(f"m{k}_a").bitwiseXOR(F.col(f"m{k}_b"))) for k in range(WORDS_OF_MARKS)), F.lit(0))
-    alike = _differ(F.col("bits_a"), F.col("bits_b")) <= MOST_DIFFERENT
     least_shared = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("l.key")
-    apart = (F.col("label_a") != F.col("label_b")) & once & marked.between(above + 1, upto) & alike & least_shared
+    apart = (F.col("label_a") != F.col("label_b")) & once & marked.between(above + 1, upto) & _may_be_similar(least) & least_shared
     pairs = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & apart)
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
+def _pivots(members: DataFrame) -> DataFrame:
+    """(key, pivot): of each bucket the member that meets most others in all its buckets. The text
+    that copies were made from shares more bands with them than they share with each other."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    met = written(members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("met")), "met-texts")
+    return members.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("pivot"))
+
+
 def _merged_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """``labels`` after joining the components that ``edges`` connect."""
     left = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
@@ -291,27 +339,29 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     signed = written(signed_documents(docs), "signatures")
     banded = signed.select("node", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("high")).filter("pivot <> high").select("key", "pivot")
-    members = written(banded.join(written(shared, "shared-bands"), "key").distinct(), "band-members")
+    shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key")
+    members = written(banded.join(written(shared, "shared-bands"), "key", "left_semi").distinct(), "band-members")
     nodes = written(members.select("node").distinct(), "candidate-nodes")
     few = nodes.count() <= BROADCAST_ROWS
     chosen = F.broadcast(nodes) if few else nodes
     texts = texts_of(docs).select(digest(F.col("text")).alias("node"), "text").join(chosen, "node", "left_semi").dropDuplicates(["node"])
     shingled = written(_shingled(texts), "candidate-shingles")
     signs = signed.join(chosen, "node", "left_semi").select("node", "bits", "marks", "keys").dropDuplicates(["node"])
-    signs = written(signs, "candidate-signs")
+    signs = written(signs.join(shingled.select("node", "bitmap", "weight"), "node"), "candidate-signs")
+    shingled = shingled.select("node", "names", "counts")
     labels = nodes.withColumn("label", F.col("node"))
-    # First every member against its bucket's least text, which joins most of a large group.
-    to_pivot = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    bits = signs.select("node", "bits")
-    left, right = bits.toDF("a", "bits_a"), bits.toDF("b", "bits_b")
-    to_pivot = to_pivot.join(left, "a").join(right, "b").filter(_differ(F.col("bits_a"), F.col("bits_b")) <= MOST_DIFFERENT)
+    # First every member against its bucket's pivot, which joins most of a large group.
+    pivots = written(_pivots(members), "pivots")
+    to_pivot = members.join(pivots, "key").filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    sides = ("node", "bits", "bitmap", "weight")
+    left, right = (signs.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in sides[1:]]) for x in ("a", "b"))
+    to_pivot = to_pivot.join(left, "a").join(right, "b").filter(_may_be_similar(least))
     edges = written(_similar(to_pivot.select("a", "b"), shingled, least), "similar-pairs")
     labels = _merged_labels(labels, edges)
     # Then all that is still apart, most alike first: what joins early is not compared later.
     above = -1
     for upto in STEPS:
-        pairs = _open_pairs(members.select("key", "node"), labels, signs, above, upto)
+        pairs = _open_pairs(members, labels, signs, above, upto, least)
         if pairs is None:
             break
         pairs, above = written(pairs, "open-pairs"), upto

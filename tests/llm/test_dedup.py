@@ -15,7 +15,7 @@ from spanmill.llm.components import components
 from spanmill.llm.fingerprints import edited_fingerprints, fingerprint_of, fingerprints, merged
 from spanmill.llm.line_dedup import dedup_lines
 from spanmill.llm.near_dedup import (
-    REGISTERS, drop_near_duplicates, near_duplicates, probability_jaccard, signatures, weighted_shingles,
+    REGISTERS, _may_be_similar, bitmaps, drop_near_duplicates, near_duplicates, probability_jaccard, signatures, weighted_shingles,
 )
 from spanmill.llm.queries import QUERIES
 
@@ -206,6 +206,51 @@ def test_near_groups_are_whole(make_docs, monkeypatch):
     assert sum(got[k] != want[k] for k in want) == 0
 
 
+def test_a_large_group_of_near_copies(make_docs):
+    """Copies of an absent text with one to three words changed: exact classes over all pairs."""
+    draw = random.Random(6)
+    base, texts = [f"v{k}" for k in range(120)], []
+    for k in range(1500):
+        words = list(base)
+        for at in draw.sample(range(120), 1 + k % 3):
+            words[at] = f"n{draw.randrange(10**6)}"
+        texts.append(" ".join(words))
+    column = {}
+    rows = [[column.setdefault(s, len(column)) for s in shingles(t)] for t in texts]
+    sets = np.zeros((len(texts), len(column)), np.float32)
+    for k, own in enumerate(rows):
+        sets[k, own] = 1
+    both, size = sets @ sets.T, sets.sum(axis=1)
+    alike = both / (size[:, None] + size - both) >= 0.8
+    want = np.arange(len(texts))
+    while True:
+        least = np.where(alike, want, len(texts)).min(axis=1)
+        if (least == want).all():
+            break
+        want = least
+    got = {r.doc_id: r.class_id for r in near_duplicates(make_docs(texts)).collect()}
+    assert 0 < (want != want[0]).sum() < 1500 and [got[k] for k in range(len(texts))] == want.tolist()
+
+
+def test_bound_keeps_every_similar_pair(spark):
+    draw, rows, similar = random.Random(8), [], set()
+    for k in range(600):
+        names = draw.sample(range(1 << 40), 60)
+        a = Counter({n: draw.choice((1, 1, 1, 2, 5)) for n in names})
+        b = Counter(a)
+        for n in draw.sample(names, draw.randint(0, 25)):
+            b[n] = draw.choice((0, 0, 0, 2))
+        b.update(draw.sample(range(1 << 40), draw.randint(0, 9)))
+        own = [np.array([sorted(+c), [c[n] for n in sorted(+c)]]) for c in (a, b)]
+        maps = [bitmaps(n.astype(np.uint64), np.array([0, len(n)]))[0].tolist() for n, _ in own]
+        rows.append((k, *maps, *[int(w.sum()) for _, w in own], [0], [0]))
+        if probability_jaccard(own[0][0], own[0][1], own[1][0], own[1][1]) >= 0.8:
+            similar.add(k)
+    pairs = spark.createDataFrame(rows, "k int, bitmap_a array<bigint>, bitmap_b array<bigint>, weight_a long, weight_b long, bits_a array<bigint>, bits_b array<bigint>")
+    kept = {r.k for r in pairs.filter(_may_be_similar(0.8)).collect()}
+    assert 50 < len(similar) and similar <= kept and len(kept) < 450
+
+
 def test_one_of_each_stays(make_docs):
     text = " ".join(f"w{k}" for k in range(100))
     texts = [text, text, text + " more", None, "", "", "alone here", text]
