@@ -7,25 +7,42 @@ from pyspark.sql import functions as F
 
 from spanmill.functions.spans import latency_bucket, cost_bucket, span_latency, token_share
 from spanmill.functions.text import chat_messages, metadata_get, time_ago
+from spanmill.operators.bloom import block_of, bloom_filter, may_hold
 from spanmill.session import written
 
+#: Repeated ids (some 60 bytes each) up to this number are broadcast as they are; more are
+#: broadcast as a filter of this many blocks (64 bytes each), whatever their number.
+BROADCAST_IDS, FILTER_BLOCKS = 500_000, 1 << 16
+
 
 def _one_per_id(spans: DataFrame, keep) -> DataFrame:
     """The delivery of each span id that ``keep`` (min or max) picks by ``arrival_seq``.
 
-    Only ids and sequence numbers are shuffled. The repeated ids are written as a
-    small table; while its files are below the broadcast threshold the planner
-    broadcasts it, and the spans with their texts are filtered where they are.
+    Only ids and sequence numbers are shuffled to find the repeated ids, which are written, so
+    their number is known. Few of them are broadcast, and the spans with their texts are filtered
+    where they are. Beyond that a Bloom filter of the repeated ids, of a fixed size, is broadcast:
+    spans that it rules out have no repeat and stay where they are, in a scan of their own; only
+    the others meet the repeated ids in a shuffle. Without repeats the spans come back as given.
     """
     repeated = (
         spans.groupBy("span_id")
         .agg(F.count("*").alias("_n"), keep("arrival_seq").alias("_kept"))
-        .filter("_n > 1")
+        .filter("_n > 1 AND span_id IS NOT NULL")
         .drop("_n")
     )
-    marked = spans.join(written(repeated, "repeated-ids"), "span_id", "left")
+    repeated = written(repeated, "repeated-ids")
+    n_repeated = repeated.count()
+    if n_repeated == 0:
+        return spans
     chosen = F.col("_kept").isNull() | (F.col("arrival_seq") == F.col("_kept"))
-    return marked.filter(chosen).select(*spans.columns)
+    if n_repeated <= BROADCAST_IDS:
+        return spans.join(F.broadcast(repeated), "span_id", "left").filter(chosen).select(*spans.columns)
+    held = bloom_filter(repeated, "span_id", FILTER_BLOCKS).withColumnRenamed("block", "_block")
+    blocked = spans.withColumn("_block", block_of(F.col("span_id"), FILTER_BLOCKS))
+    marked = blocked.join(F.broadcast(held), "_block", "left").withColumn("_maybe", may_hold(F.col("span_id")))
+    sure = marked.filter("NOT _maybe").select(*spans.columns)
+    rest = marked.filter("_maybe").select(*spans.columns).join(repeated, "span_id", "left").filter(chosen)
+    return sure.unionByName(rest.select(*spans.columns))
 
 
 def insert_spans_first_wins(spans: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +14,8 @@ from spanmill.functions.stats import top_k
 from spanmill.operators.alerts import COOLDOWN_MINUTES, apply_cooldown, metric_values
 from spanmill.operators.enrich import first_agents, insert_spans_first_wins, resolve_agent_name, root_agents
 from spanmill.operators.validate import split_typed, typed_spans
+from spanmill.session import written
+from spanmill.sources import key_runs
 from spanmill.sources.tables import read_traces, write_batch, write_trace_partials
 
 WATERMARK = "10 minutes"
@@ -31,10 +31,9 @@ def micro_batch_writer(df: DataFrame, interval: str | None = FLUSH_INTERVAL) ->
     return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
 
 
-_STORED = """span_id string, trace_id string, parent_span_id string, name string, arrival_seq bigint,
-  ingest_batch int, project_id string, date date"""
-#: Days before a span in which its trace's root is looked for.
-ROOT_DAYS = 1
+#: Tables of the ingest job that are looked up by key, with the rows they hold.
+SEEN_IDS, SEEN_SCHEMA = "seen_ids", "span_id string, arrival_seq bigint"
+ROOT_AGENTS, AGENT_SCHEMA = "root_agents", "trace_id string, agent_name string, arrival_seq bigint"
 
 
 def _numbered(staged: DataFrame, batch_id: int) -> DataFrame:
@@ -65,26 +64,16 @@ def _remove(spark: SparkSession, root: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _stored_before(spark: SparkSession, root: str, batch_id: int, low, high) -> DataFrame | None:
-    """Spans of earlier micro-batches on the days from ``low`` to ``high`` (a rerun must not
-    see its own); only folders of these days are read."""
-    if low is None or not _exists(spark, root):
-        return None
-    # With a schema, as batches without rows leave no files to take one from.
-    stored = spark.read.schema(_STORED).option("basePath", root).parquet(root)
-    return stored.filter(F.col("ingest_batch") < batch_id).filter(F.col("date").between(F.lit(low), F.lit(high)))
-
-
-def ingest_micro_batch(
-    raw: DataFrame, batch_id: int, root: str, allow_offset: bool = False, root_days: int = ROOT_DAYS
-) -> None:
+def ingest_micro_batch(raw: DataFrame, batch_id: int, root: str, allow_offset: bool = False) -> None:
     """Validate, enrich and store one micro-batch of raw spans (see ``read_span_batches``).
 
-    Writes ``spans``, ``trace_partials`` and ``rejects`` below ``root``. A span that an earlier
-    micro-batch stored is dropped before it counts anywhere: ids are compared on the days of
-    this batch's spans, where a redelivery has to be. An agent comes from roots of this batch
-    or of those stored up to ``root_days`` days before. Checks and redaction (of rejects too)
-    run once, into a staged table that the later steps read and that goes afterwards.
+    Writes ``spans``, ``trace_partials`` and ``rejects`` below ``root``, and two narrow tables of
+    runs (see ``key_runs``): every id stored so far, and the agent of every root. A span whose id
+    any earlier micro-batch stored is dropped before it counts anywhere, whenever it comes and
+    whatever its start or project; so how the input is cut into micro-batches doesn't change what is
+    stored. An agent comes from the roots of this batch or of any before. Checks and redaction
+    (of rejects too) run once, into a staged table that the later steps read and that goes
+    afterwards. A batch that runs again replaces all it wrote.
     """
     spark = raw.sparkSession
     counted = "arrival_seq" in raw.columns
@@ -97,20 +86,22 @@ def ingest_micro_batch(
     rows = rows if counted else _numbered(rows, batch_id)
     valid, rejected = split_typed(rows)
     write_batch(rejected, f"{root}/rejects", batch_id)
-    dated = valid.withColumn("date", F.to_date("started_at"))
-    low, high = dated.agg(F.min("date"), F.max("date")).first()
-    stored = _stored_before(spark, f"{root}/spans", batch_id, low, high)
-    if stored is not None:
-        valid = valid.join(stored.select("span_id"), "span_id", "left_anti")
-    first = insert_spans_first_wins(compute_cost(valid))
-    agents = root_agents(first)
-    if stored is not None:
-        since = low - datetime.timedelta(days=root_days)
-        earlier = _stored_before(spark, f"{root}/spans", batch_id, since, high)
-        agents = first_agents(agents.unionByName(root_agents(earlier)))
+    seen_ids, root_agent_rows = f"{root}/{SEEN_IDS}", f"{root}/{ROOT_AGENTS}"
+    for table, key, schema in ((seen_ids, "span_id", SEEN_SCHEMA), (root_agent_rows, "trace_id", AGENT_SCHEMA)):
+        key_runs.merge(spark, table, key, schema, batch_id)
+    seen = key_runs.lookup(spark, seen_ids, "span_id", SEEN_SCHEMA, valid.select("span_id"), batch_id)
+    # At most the ids of this batch; written, so that the planner knows their size.
+    seen = written(seen.select("span_id").distinct(), "seen-ids")
+    first = insert_spans_first_wins(compute_cost(valid.join(seen, "span_id", "left_anti")))
+    own_agents = root_agents(first)
+    open_traces = first.filter(F.col("parent_span_id").isNotNull()).select("trace_id")
+    earlier = key_runs.lookup(spark, root_agent_rows, "trace_id", AGENT_SCHEMA, open_traces, batch_id)
+    agents = first_agents(own_agents.unionByName(earlier))
     named = resolve_agent_name(first, agents).withColumn("date", F.to_date("started_at"))
     write_batch(named.hint("rebalance", "project_id", "date"), f"{root}/spans", batch_id, "project_id", "date")
     write_trace_partials(first, f"{root}/trace_partials", batch_id)
+    key_runs.record(first.select("span_id", "arrival_seq"), seen_ids, "span_id", batch_id)
+    key_runs.record(own_agents, root_agent_rows, "trace_id", batch_id)
     _remove(spark, staged)
 
 
