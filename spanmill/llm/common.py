@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 import spanmill
 
@@ -48,8 +49,21 @@ def file_bytes(spark: SparkSession, path: str):
 
 
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``work`` over all batches; also where a column's name has a dot, which Spark's own
+    function takes for a field."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    if not any("." in name for name in df.columns):
+        return df.mapInArrow(work, schema)
+    names = df.columns
+    fields = (schema if isinstance(schema, StructType) else StructType.fromDDL(schema)).fields
+    plain = lambda n: [f"c{k}" for k in range(n)]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in work(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns(plain(batch.num_columns))
+
+    shape = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(fields)])
+    return df.toDF(*plain(len(names))).mapInArrow(renamed, shape).toDF(*[f.name for f in fields])
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

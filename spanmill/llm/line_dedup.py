@@ -178,8 +178,32 @@ def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[Data
     return distinct.join(near_lines.withColumn("near", F.lit(True)), ["h1", "h2"], "left"), lines
 
 
+COUNTS = ("n_lines", "n_repeated", "n_near")
+
+
+def count_names(columns: list[str]) -> list[str]:
+    """Names of the three counts beside ``columns``: a name that is taken gets the first free
+    of the endings _1, _2 and so on."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in COUNTS:
+        free = name
+        while free in taken:
+            free = f"{name}_{int(free.rpartition('_')[2]) + 1 if free != name else 1}"
+        out.append(free)
+    return out
+
+
+def _without(text: Column, places: Column) -> Column:
+    """Lines of ``text`` but those at ``places``, in time linear in the lines: one flag for each
+    line up to the last place, put beside the lines once."""
+    ordered = F.sort_array(places)
+    before = F.concat(F.array(F.lit(-1)), F.slice(ordered, F.lit(1), F.size(places) - 1))
+    flags = F.flatten(F.zip_with(before, ordered, lambda p, q: F.concat(F.array_repeat(F.lit(True), q - p - 1), F.array(F.lit(False)))))
+    return F.array_join(F.zip_with(F.split(text, "\n", -1), flags, lambda line, stays: F.when(F.coalesce(stays, F.lit(True)), line)), "\n")
+
+
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` plus n_lines, n_repeated and n_near; ``text`` without the lines that occur
+    """``docs`` plus n_lines, n_repeated and n_near (see ``count_names``); ``text`` without the lines that occur
     earlier in (doc_id, text hash, line) order, or of which an earlier distinct line is one
     word apart (a word more, less or other; even if that line was dropped itself).
 
@@ -208,13 +232,13 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     own = own.withColumns({"id": F.coalesce("row.doc_id", F.lit(_NO_ID)), "digest": F.xxhash64("row.text")})
     joined = own.join(per_doc, ["id", "digest"], "left")
     split = F.split("row.text", "\n", -1)
-    places = F.col("gone.place")
-    kept = F.array_join(F.filter(split, lambda line, k: ~F.array_contains(places, k)), "\n")
+    kept = _without(F.col("row.text"), F.col("gone.place"))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
     repeated = F.size(F.filter("gone", lambda g: g.repeated))
+    n_lines, n_repeated, n_near = count_names(names)
     return joined.select(
-        *[(text if n == "text" else F.col("row")[n]).alias(n) for n in names if n not in ("n_lines", "n_repeated", "n_near")],
-        F.coalesce(F.when(F.col("row.text").isNotNull(), F.size(split)), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(repeated).cast("long").alias("n_repeated"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone") - repeated).cast("long").alias("n_near"),
+        *[(text if n == "text" else F.col("row")[n]).alias(n) for n in names],
+        F.coalesce(F.when(F.col("row.text").isNotNull(), F.size(split)), F.lit(0)).cast("long").alias(n_lines),
+        F.when(F.col("gone").isNull(), 0).otherwise(repeated).cast("long").alias(n_repeated),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone") - repeated).cast("long").alias(n_near),
     )

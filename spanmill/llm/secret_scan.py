@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanmill.llm.common import map_arrow, text_bytes, texts_of
 
@@ -298,9 +299,13 @@ def spans_in(raw: np.ndarray, offsets: np.ndarray, automaton: Automaton, rules:
         part = raw[done:a]
         chars += int(np.count_nonzero((part & 0xC0) != 0x80))
         counted[d] = (a, chars)
-        # Matches are ASCII, but other bytes may stand between two of one stretch.
-        place = lambda i: chars + int(np.count_nonzero((raw[a : a + i] & 0xC0) != 0x80))
-        out.setdefault(d, []).extend((place(s), k, place(e)) for s, k, e in spans)
+        # Matches are ASCII, but other bytes may stand between two of one stretch; each is
+        # counted once.
+        place, last = {}, 0
+        for i in sorted({i for s, _, e in spans for i in (s, e)}):
+            chars += int(np.count_nonzero((raw[a + last : a + i] & 0xC0) != 0x80))
+            place[i], last = chars, i
+        out.setdefault(d, []).extend((place[s], k, place[e]) for s, k, e in spans)
     return {d: sorted(x) for d, x in out.items()}
 
 
@@ -372,5 +377,5 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         return {"text": pa.array(texts, batch.schema.field("text").type)}
 
     kept = [n for n in names if n != "text"]
-    ordered = docs.select(*kept, "text")
-    return _scan_batches(ordered, rules, columns, ordered.schema, *kept).select(*names)
+    ordered = docs.select(*[F.col(f"`{n}`") for n in kept], "text")
+    return _scan_batches(ordered, rules, columns, ordered.schema, *kept).select(*[F.col(f"`{n}`") for n in names])
