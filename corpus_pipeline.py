@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanmill.llm.common import documents
 from spanmill.llm.language_id import keep_languages
-from spanmill.llm.line_dedup import dedup_lines
+from spanmill.llm.line_dedup import count_names, dedup_lines
 from spanmill.llm.near_dedup import drop_near_duplicates
 from spanmill.llm.packing import pack_along_curve
 from spanmill.llm.secret_scan import mask_secrets
@@ -31,8 +31,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one has; those left without any go."""
     cleaned = dedup_lines(docs)
-    emptied = (F.col("n_repeated") + F.col("n_near") > 0) & (F.trim(F.col("text")) == "")
-    return _measured(cleaned.filter(~F.coalesce(emptied, F.lit(False))).select(*docs.columns))
+    _, n_repeated, n_near = count_names(docs.columns)
+    emptied = (F.col(n_repeated) + F.col(n_near) > 0) & (F.trim(F.col("text")) == "")
+    return _measured(cleaned.filter(~F.coalesce(emptied, F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
