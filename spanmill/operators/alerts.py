@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmill.functions.stats import combined, percentile_cont
+from spanmill.functions.stats import counted_percentile, percentile_cont
 from spanmill.operators.slices import moment, time_slice
 
 WINDOW_MINUTES = 5
@@ -25,9 +25,8 @@ def _metric_columns() -> list[Column]:
 
 def _metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Error rate, cost and p95 latency per group; a group without latencies has p95 0."""
-    base = rows.groupBy(*keys).agg(*_metric_columns())
-    p95 = percentile_cont(rows, keys, "latency_ms", 0.95, "latency_p95")
-    return combined(keys, base, p95).fillna(0.0, ["latency_p95"])
+    metrics = counted_percentile(rows, keys, _metric_columns(), "latency_ms", 0.95, "latency_p95")
+    return metrics.fillna(0.0, ["latency_p95"])
 
 
 def alert_metrics(spans: DataFrame, as_of, minutes: int = WINDOW_MINUTES) -> DataFrame:

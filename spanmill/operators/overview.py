@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmill.functions.stats import combined, gap_filled, js_round, percentile_cont, top_k
+from spanmill.functions.stats import combined, counted_percentile, gap_filled, js_round, top_k
 from spanmill.operators.errors import error_clusters
 from spanmill.operators.slices import hours_before, moment, report_keys, time_slice
 from spanmill.session import written
@@ -47,10 +47,11 @@ def summary_stats(
                 "p95_latency_ms"
             ),
         )
-    counts = rows.groupBy(*keys).agg(*basics, F.count_distinct("trace_id").alias("unique_traces"))
-    p95 = percentile_cont(rows, keys, "latency_ms", 0.95, "p95_latency_ms")
-    return combined(keys, counts, p95).withColumn(
-        "p95_latency_ms", _zero_double(F.col("p95_latency_ms"))
+    # Distinct traces have a pass of their own: next to the sketch they would multiply its rows.
+    counts = counted_percentile(rows, keys, basics, "latency_ms", 0.95, "p95_latency_ms")
+    traces = rows.groupBy(*keys).agg(F.count_distinct("trace_id").alias("unique_traces"))
+    return combined(keys, counts, traces).withColumns(
+        {"p95_latency_ms": _zero_double(F.col("p95_latency_ms")), "unique_traces": _zero(F.col("unique_traces"))}
     )
 
 
@@ -58,16 +59,14 @@ def summary_by_trace(traces: DataFrame, project_id=None, start=None, end=None) -
     """Trace-grain summary; p95 is over the total latency of traces."""
     keys = report_keys(project_id)
     rows = time_slice(traces, project_id, start, end)
-    counts = rows.groupBy(*keys).agg(
+    basics = [
         F.count("*").alias("unique_traces"),
         F.count_if(F.expr(_IS_ERROR)).alias("error_count"),
         _zero_double(F.sum("total_cost_usd")).alias("total_cost_usd"),
         _zero_double(F.avg("total_latency_ms")).alias("avg_latency_ms"),
-    )
-    p95 = percentile_cont(rows, keys, "total_latency_ms", 0.95, "p95_latency_ms")
-    return combined(keys, counts, p95).withColumn(
-        "p95_latency_ms", _zero_double(F.col("p95_latency_ms"))
-    )
+    ]
+    summary = counted_percentile(rows, keys, basics, "total_latency_ms", 0.95, "p95_latency_ms")
+    return summary.withColumn("p95_latency_ms", _zero_double(F.col("p95_latency_ms")))
 
 
 def _in(start, end, open_end: bool = False) -> Column:
