@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanmill.operators import cost, errors, overview, rollup, traces
+from spanmill.operators import cost, errors, overview, rollup, sketches, traces
 from spanmill.plans import derived as d
 from spanmill.plans.registry import placed, query
+from spanmill.session import work_path
 
 RANGE = (None, d.START, d.END)
 PERIOD = (None, "2024-01-16 00:00:00", "2024-01-30 00:00:00")
@@ -119,10 +120,56 @@ def _(spark, sf):
     return overview.summary_stats(d.spans(spark, sf), "p9")
 
 
-# Approximate results have no exact SQL twin; the error bound is checked in the tests.
+def _sketches(spark, sf):
+    """Sketches of the spans, stored in two batches that share hours."""
+    root, spans = work_path(spark, "sketches"), d.spans(spark, sf)
+    for batch in (0, 1):
+        sketches.write_sketches(spans.filter(F.col("arrival_seq") % 2 == batch), root, batch)
+    return sketches.read_sketches(spark, root)
+
+
+# Approximate results have no exact SQL twin; summary_sketch_errors checks their bounds.
 @query("summary_stats_approx")
 def _(spark, sf):
-    return overview.summary_stats(d.spans(spark, sf), *RANGE, approx=True)
+    return sketches.sketched_summary(_sketches(spark, sf), None, *RANGE)
+
+
+_IN_HOURS = f"started_at >= TIMESTAMP '{d.START}' AND started_at < TIMESTAMP '{d.END}'"
+
+
+@query(
+    "summary_sketch_errors",
+    "spans",
+    f"""SELECT project_id, count(*) AS total_spans, count(*) FILTER (status = 'error') AS error_count,
+      round(coalesce(sum(cost_usd), 0e0), 9) AS total_cost_usd,
+      round(coalesce(avg(latency_ms), 0e0), 9) AS avg_latency_ms,
+      CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS total_input_tokens,
+      CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS total_output_tokens,
+      true AS p95_within, true AS traces_within
+    FROM spans WHERE {_IN_HOURS} GROUP BY project_id""",
+)
+def _(spark, sf):
+    found = sketches.sketch_errors(_sketches(spark, sf), d.spans(spark, sf), *RANGE)
+    return found.select(
+        "project_id", "total_spans", "error_count", "total_cost_usd", "avg_latency_ms", "total_input_tokens",
+        "total_output_tokens", (F.col("rank_error") <= 2 * sketches.RANK_ERROR).alias("p95_within"),
+        (F.col("traces_error") <= 2 * sketches.TRACES_ERROR).alias("traces_within"),
+    )
+
+
+@query(
+    "usage_by_model_sketched",
+    "spans",
+    f"""SELECT project_id, model, count(*) AS total_spans, count(*) FILTER (status = 'error') AS error_count,
+      round(coalesce(sum(cost_usd), 0e0), 9) AS total_cost_usd
+    FROM spans WHERE started_at >= TIMESTAMP '2024-01-05 06:00:00' AND started_at < TIMESTAMP '2024-01-19 17:00:00'
+    GROUP BY project_id, model""",
+)
+def _(spark, sf):
+    rows = sketches.sketched_summary(
+        _sketches(spark, sf), ["project_id", "model"], None, "2024-01-05 06:00:00", "2024-01-19 17:00:00"
+    )
+    return rows.select("project_id", "model", "total_spans", "error_count", "total_cost_usd")
 
 
 @query(
@@ -485,12 +532,12 @@ def _(spark, sf):
 @query(
     "model_efficiency_sort",
     "spans",
-    f"""SELECT * EXCLUDE (project_id), CAST(row_number() OVER (ORDER BY avg_latency_ms DESC, model) AS INTEGER) AS place
-    FROM ({_BY_MODEL}) WHERE project_id = 'p0'""",
+    f"""SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY avg_latency_ms DESC, model) AS INTEGER) AS place
+    FROM ({_BY_MODEL})""",
 )
 def _(spark, sf):
-    by_model = cost.cost_by_model(d.spans(spark, sf), "p0", *RANGE[1:])
-    return placed(cost.model_efficiency_sort(by_model, "avg_latency_ms"))
+    by_model = cost.cost_by_model(d.spans(spark, sf), *RANGE)
+    return placed(cost.model_efficiency_sort(by_model, "avg_latency_ms"), "project_id")
 
 
 @query(
