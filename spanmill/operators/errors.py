@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from spanmill.functions.stats import combined, top_k
 from spanmill.functions.text import normalize_message, tokens
 from spanmill.operators.slices import report_keys, time_slice
+from spanmill.session import written
+
+#: A word with a digit, a path or an inner dot, colon or hyphen is likely to name one thing only.
+_NAMES_ONE_THING = r"[0-9/\\@_=<]|[A-Za-z0-9][.:-][A-Za-z0-9]"
+#: Plain words in one place make it variable from so many on.
+PLAIN_VALUES = 5
+#: Pairs of places are tried in messages of up to so many words.
+PAIR_WORDS = 24
+WILDCARD = "<*>"
 
 
 def _clusters(errors: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -76,6 +85,58 @@ def error_clusters_normalized(
     return _clusters(rows, report_keys(project_id), limit)
 
 
+def message_templates(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, message, pattern): distinct messages with their variable words as ``WILDCARD``.
+
+    Messages meet where they have the same words but for one place or two. One place is variable
+    if at least PLAIN_VALUES messages, or at least two whose words there all seem to name one
+    thing (a file, a host, an id), are equal outside it; two places if all words in both seem to
+    and both differ. Every message sends one row per place (or pair, up to PAIR_WORDS words) to a
+    hash of the rest, so messages are never compared in pairs and a template with very many
+    messages is combined before the shuffle. A message that meets no other is its own pattern.
+    """
+    distinct = messages.select(*keys, "message").distinct()
+    rows = written(distinct.withColumn("_words", F.split("message", " ", -1)), "messages")
+    n = F.size("_words")
+    single = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), i.alias("j")))
+    pairs = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda j: F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: i < j), lambda i: F.struct(i.alias("i"), j.alias("j"))),
+        )
+    )
+    places = F.when(n <= PAIR_WORDS, F.concat(single, pairs)).otherwise(single)
+    placed = rows.select(*keys, "message", "_words", F.explode(places).alias("_at")).select(
+        *keys, "message", "_words", F.col("_at.i").alias("_i"), F.col("_at.j").alias("_j")
+    )
+    rest = F.transform("_words", lambda w, k: F.when((k == F.col("_i")) | (k == F.col("_j")), "\0").otherwise(w))
+    first, second = F.get("_words", F.col("_i")), F.get("_words", F.col("_j"))
+    placed = placed.select(
+        *keys, "message", "_i", "_j", F.md5(F.array_join(rest, " ")).alias("_rest"), first.alias("_a"), second.alias("_b")
+    )
+    named = F.bool_and(F.col("_a").rlike(_NAMES_ONE_THING) & F.col("_b").rlike(_NAMES_ONE_THING))
+    group = [*keys, "_i", "_j", "_rest"]
+    differ = (F.min("_a") != F.max("_a")) & (F.min("_b") != F.max("_b"))
+    variable = placed.groupBy(*group).agg(((F.col("_i") == F.col("_j")) & (F.count("*") >= PLAIN_VALUES) | named & differ).alias("_variable"))
+    found = placed.join(variable.filter("_variable").drop("_variable"), group)
+    masks = found.groupBy(*keys, "message").agg(F.array_distinct(F.flatten(F.collect_set(F.array("_i", "_j")))).alias("_mask"))
+    masked = F.transform("_words", lambda w, k: F.when(F.array_contains("_mask", k), WILDCARD).otherwise(w))
+    pattern = F.when(F.col("_mask").isNull(), F.col("message")).otherwise(F.array_join(masked, " "))
+    return rows.join(masks, [*keys, "message"], "left").select(*keys, "message", pattern.alias("pattern"))
+
+
+def error_clusters_similar(
+    spans: DataFrame, project_id=None, start=None, end=None, limit: int = 10
+) -> DataFrame:
+    """The same by template: messages that also differ in the names of files, hosts and the
+    like meet (see ``message_templates``). Writes the distinct messages and their templates."""
+    keys = report_keys(project_id)
+    rows = _error_rows(spans, project_id, start, end, normalize_message(F.col("error_message"))).withColumnRenamed("pattern", "message")
+    templates = written(message_templates(rows.select(*keys, "message"), keys), "message-templates")
+    met = rows.join(templates, [*keys, "message"], "left").withColumn("pattern", F.coalesce("pattern", "message"))
+    return _clusters(met.drop("message"), keys, limit)
+
+
 def error_significant_terms(
     spans: DataFrame, column: str, project_id=None, start=None, end=None, limit: int = 10
 ) -> DataFrame:

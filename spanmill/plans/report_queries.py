@@ -408,6 +408,26 @@ def _(spark, sf):
     return errors.error_clusters_normalized(d.spans(spark, sf), *RANGE)
 
 
+def _failing(spans):
+    """Messages that differ in a file, or in a file and a host, or in nothing."""
+    k = F.col("arrival_seq")
+    file = F.concat(F.lit("/data/"), F.char(97 + k % 26), F.char(97 + F.floor(k / 26) % 26), F.lit(".json"))
+    host = F.concat(F.lit("db-"), F.char(97 + k % 5), F.lit(".local"))
+    message = F.when(k % 3 == 0, F.concat(F.lit("cannot open "), file, F.lit(" for reading")))
+    message = message.when(k % 3 == 1, F.concat(F.lit("upload of "), file, F.lit(" to "), host, F.lit(" failed"))).otherwise("quota exceeded")
+    return spans.withColumn("error_message", F.when(F.col("error_message").isNotNull(), message))
+
+
+@query(
+    "error_clusters_similar",
+    "spans",
+    _clusters("""CASE arrival_seq % 3 WHEN 0 THEN 'cannot open <*> for reading'
+      WHEN 1 THEN 'upload of <*> to <*> failed' ELSE 'quota exceeded' END"""),
+)
+def _(spark, sf):
+    return errors.error_clusters_similar(_failing(d.spans(spark, sf)), *RANGE)
+
+
 @query(
     "error_significant_terms",
     "text_spans",
