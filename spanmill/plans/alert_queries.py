@@ -420,8 +420,10 @@ def _(spark, sf):
     "stream_alert_cooldown",
     "traces alerts",
     f"""WITH RECURSIVE {_ticks(False)}, {_TICK_VALUES},
+    allv AS (SELECT * FROM tv UNION ALL SELECT project_id, tick, 'failure', CAST(count(*) AS DOUBLE)
+      FROM tt SEMI JOIN tm USING (project_id, tick) WHERE status = 'error' GROUP BY 1, 2),
     breaches AS (SELECT a.alert_id, a.project_id, a.type, v.tick, v.value, a.threshold
-      FROM alerts a JOIN tv v USING (project_id, type)
+      FROM alerts a JOIN allv v USING (project_id, type)
       WHERE a.is_active AND v.value > a.threshold AND v.tick {_CLOSED}),
     {_FOLD}
     SELECT b.alert_id, b.project_id, b.type, b.tick, round(b.value, 9) AS value,
@@ -430,9 +432,11 @@ def _(spark, sf):
 )
 def _(spark, sf):
     root = work_path(spark, "stream-firings")
+    traces_root = work_path(spark, "alert-traces")
+    tables.write_trace_partials(d.spans(spark, sf), traces_root, 0)
     metrics = jobs.stream_alert_metrics(_span_stream(spark, sf))
     stream = jobs.stream_alert_cooldown(
-        metrics, d.alerts(spark, sf), root, work_path(spark, "checkpoint"), interval=None
+        metrics, d.alerts(spark, sf), root, work_path(spark, "checkpoint"), interval=None, traces_root=traces_root
     )
     stream.awaitTermination()
     return spark.read.option("basePath", root).parquet(root).drop("ingest_batch", "date")
