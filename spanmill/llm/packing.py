@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spanmill.llm.common import file_bytes, map_arrow, range_of, range_starts, task_count, text_bytes, texts_of
 from spanmill.llm.units import unit_encoder
+from spanmill.llm.word_bpe import byte_slices
 
 DIMENSIONS, BITS = 3, 12
 _FIELD = 21
@@ -101,6 +102,8 @@ def curve_keys(docs: DataFrame, keep_text: bool) -> DataFrame:
     return placed.withColumn("place", F.col("curve") * F.lit(1 << 26) + tie).drop("curve")
 
 
+#: Bytes of text that a task encodes and packs together.
+PACKED_BYTES = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -186,8 +189,7 @@ def pack_along_curve(docs: DataFrame, tokenizer: str, size: int = 1024, end_id:
         encoder = unit_encoder(definition.value, False)
         packer = None
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for batch in byte_slices(whole, PACKED_BYTES):
                 packer = packer or _Packer(batch.column("part")[0].as_py(), size)
                 values, cuts = encoder.encode(batch.column("text"))
                 lengths = np.diff(cuts)
