@@ -34,10 +34,14 @@ def envelopes(bodies: DataFrame, body: str = "value") -> DataFrame:
     )
 
 
-def read_envelopes(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Envelopes from text files with one JSON body per line, plain or ``.gz``."""
+def read_envelopes(spark: SparkSession, path: str, streaming: bool = False, **options) -> DataFrame:
+    """Envelopes from text files with one JSON body per line, plain or ``.gz``.
+
+    ``options`` are those of the file source; ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``
+    bound a micro-batch, so a stream that was paused catches up in several.
+    """
     reader = spark.readStream if streaming else spark.read
-    return envelopes(reader.text(path))
+    return envelopes(reader.options(**options).text(path))
 
 
 def explode_spans(batches: DataFrame) -> DataFrame:
@@ -48,9 +52,9 @@ def explode_spans(batches: DataFrame) -> DataFrame:
     return rows.filter(F.col("position").isNotNull())
 
 
-def read_span_batches(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """One row per span of ``{"spans": [...]}`` envelopes, plain or gzip."""
-    return explode_spans(read_envelopes(spark, path, streaming))
+def read_span_batches(spark: SparkSession, path: str, streaming: bool = False, **options) -> DataFrame:
+    """One row per span of ``{"spans": [...]}`` envelopes, plain or gzip (see ``read_envelopes``)."""
+    return explode_spans(read_envelopes(spark, path, streaming, **options))
 
 
 # --- Fixed values: column and wire name of a span field ---
@@ -163,8 +167,8 @@ def spans_sink(spans: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_spans(spark: SparkSession, path: str) -> DataFrame:
-    """Spans written by :func:`spans_sink`."""
-    return spark.read.parquet(path)
+    """Spans written by :func:`spans_sink`, also in folders of landed batches."""
+    return spark.read.option("basePath", path).parquet(path).drop("landed")
 
 
 def csv_lines(df: DataFrame) -> DataFrame:

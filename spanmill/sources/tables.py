@@ -35,17 +35,22 @@ def compact_trace_partials(spark: SparkSession, root: str, target: str, upto: in
     """Merge the partial rows of the batches up to ``upto`` into a new table.
 
     Batch 0 of ``target`` holds one row per trace; later batches are copied, so
-    ``read_traces`` gives the same rows for both tables.
+    ``read_traces`` gives the same rows for both tables. Run again, it replaces what it wrote.
     """
     partials = read_trace_partials(spark, root)
     old = partials.filter(F.col("ingest_batch") <= upto).drop("ingest_batch")
     write_batch(merge_trace_partials(old), target, 0)
     recent = partials.filter(F.col("ingest_batch") > upto)
-    recent.write.mode("append").partitionBy("ingest_batch").parquet(target)
+    # Only the folders of the batches that are written are replaced, not the whole table.
+    recent.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ingest_batch").parquet(target)
 
 
 def compact_spans(spark: SparkSession, landing: str, target: str, first: int, last: int) -> None:
-    """Append the landed batches ``first`` to ``last`` to the table by project and day."""
+    """Move the landed batches ``first`` to ``last`` to the table by project and day.
+
+    They get a folder of their own in ``target`` (read with ``read_spans``), which the same move
+    replaces when it runs again.
+    """
     landed = spark.read.option("basePath", landing).parquet(landing)
     chosen = landed.filter(F.col("ingest_batch").between(first, last))
-    spans_sink(chosen.drop("ingest_batch", "date"), target)
+    spans_sink(chosen.drop("ingest_batch", "date"), f"{target}/landed={first}-{last}", mode="overwrite")

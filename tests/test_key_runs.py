@@ -1,5 +1,6 @@
 """Bloom filters, runs by key, and ingest that drops a repeat whenever it comes."""
 
+import os
 import random
 import re
 
@@ -74,7 +75,8 @@ def test_a_repeat_is_dropped_whenever_it_comes(spark, tmp_path, monkeypatch):
         root = str(tmp_path / f"out-{name}")
         for k, at in enumerate(range(0, len(deliveries), size)):
             write_file(source, f"{k:03d}.json", deliveries[at : at + size])
-            run_ingest(spark, source, root, str(tmp_path / f"cp-{name}"))
+            os.utime(source / f"{k:03d}.json", (1_700_000_000 + k,) * 2)  # the order of arrival
+        run_ingest(spark, source, root, str(tmp_path / f"cp-{name}"), maxFilesPerTrigger=1)
         rows = stored(spark, root).collect()
         assert len(rows) == 32 and all(r["latency_ms"] is None for r in rows)
         traces = tables.read_traces(spark, f"{root}/trace_partials").select("trace_id", "total_spans").collect()
