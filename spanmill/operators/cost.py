@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from spanmill.functions.pricing import price_lookup
 from spanmill.functions.stats import combined, gap_filled, js_round, top_k
-from spanmill.operators.overview import model_usage, page_slice
+from spanmill.operators.overview import model_usage
+from spanmill.operators.page import by_model, grouped_counts, listed, single
 from spanmill.operators.slices import moment, report_keys, time_slice
+from spanmill.session import written
 
 
 def _cost(column: str = "cost_usd") -> Column:
@@ -238,42 +240,83 @@ def model_efficiency_sort(
     return by_model.orderBy(F.desc(column) if descending else F.asc(column), "model")
 
 
+def _cost_counts(spans: DataFrame, project_id, start, end, as_of) -> DataFrame:
+    """Everything that the cost page adds up, from one scan of both periods and the month."""
+    at, first, month = F.col("started_at"), _prev_start(start, end), F.date_trunc("month", moment(as_of))
+    now = (at >= moment(start)) & (at <= moment(end))
+    before = (at >= first) & (at <= moment(start))
+    inside = lambda c: F.when(now, F.col(c)).alias(c)
+    earliest, latest = F.least(first, month), F.greatest(moment(end), moment(as_of))
+    rows = time_slice(spans, project_id, earliest, latest).select(
+        "project_id",
+        F.when(now, F.to_date("started_at")).alias("date"),
+        *[inside(c) for c in ("model", "provider", "agent_name", "input_tokens", "output_tokens", "latency_ms")],
+        now.alias("now"),
+        (now | before).alias("reported"),
+        F.when(now, F.col("cost_usd")).alias("cost"),
+        F.when(before, F.col("cost_usd")).alias("cost_before"),
+        F.when((at >= month) & (at <= moment(as_of)), F.col("cost_usd")).alias("cost_month"),
+    )
+    return grouped_counts(
+        rows,
+        {"total": [], "date": ["date"], "model": ["model", "provider"], "agent": ["agent_name"]},
+        F.count_if("now").alias("n"),
+        F.count_if("reported").alias("n_reported"),
+        *[F.sum(c).alias(c) for c in ("cost", "cost_before", "cost_month")],
+        *[
+            agg(c).alias(name)
+            for c, total, n in (("latency_ms", "latency", "n_latency"), ("input_tokens", "tokens_in", "n_in"), ("output_tokens", "tokens_out", "n_out"))
+            for agg, name in ((F.sum, total), (F.count, n))
+        ],
+    )
+
+
 def cost_summary(
     spans: DataFrame, projects: DataFrame, project_id=None, start=None, end=None, as_of=None
 ) -> DataFrame:
-    """The whole page as one row per project: totals, budget, and short arrays."""
-    keys = report_keys(project_id)
-    as_of = end if as_of is None else as_of
-    earliest = F.least(_prev_start(start, end), F.date_trunc("month", moment(as_of)))
-    latest = F.greatest(moment(end), moment(as_of))
-    spans = page_slice(spans, project_id, earliest, latest, "cost-slice")
-    args = (spans, project_id, start, end)
-
-    def listed(df: DataFrame, name: str, order: Column, *columns: str) -> DataFrame:
-        rows = F.sort_array(F.collect_list(F.struct(order.alias("_o"), *columns)))
-        unordered = F.transform(rows, lambda r: F.struct(*[r[c].alias(c) for c in columns]))
-        return df.groupBy(*keys).agg(unordered.alias(name))
+    """The whole page as one row per project: totals, budget, and short arrays.
 
-    month = _month_cost(spans, project_id, as_of)
+    One scan counts by day, by model and provider, and by agent; its result (written, as small as
+    the page) answers every part. With ``project_id`` there is always one row.
+    """
+    keys = ["project_id"]
+    as_of = end if as_of is None else as_of
+    counts = written(_cost_counts(spans, project_id, start, end, as_of), "cost-counts")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    totals = counts.filter("kind = 'total'").select(
+        *keys,
+        F.when(F.col("n_reported") > 0, zero("cost")).alias("total_cost_usd"),
+        F.coalesce("tokens_in", F.lit(0)).alias("total_input_tokens"),
+        F.coalesce("tokens_out", F.lit(0)).alias("total_output_tokens"),
+        zero("cost_before").alias("prev_period_cost_usd"),
+    )
+    models = by_model(counts).select(
+        *keys, "model", "provider", "cost_usd",
+        F.col("calls").alias("span_count"),
+        js_round(F.col("avg_tokens_per_call")).alias("avg_tokens_per_call"),
+        F.round("avg_cost_per_call", 6).alias("avg_cost_per_call"),
+        js_round(F.col("avg_latency_ms")).alias("avg_latency_ms"),
+        F.col("calls").alias("call_count"),
+    )
+    days = counts.filter("kind = 'date' AND n > 0").select(*keys, "date", zero("cost").alias("cost_usd"))
+    agents = counts.filter("kind = 'agent' AND n > 0 AND agent_name IS NOT NULL").select(*keys, "agent_name", zero("cost").alias("cost_usd"))
     budgets = projects.filter(F.col("monthly_budget_usd") > 0)
     if project_id is not None:
-        month = month.drop("project_id")
         budgets = budgets.filter(F.col("project_id") == project_id)
-    budgets = budgets.select(*keys, F.col("monthly_budget_usd").cast("double").alias("monthly_budget_usd"))
     page = combined(
         keys,
-        period_costs(*args),
+        totals,
         listed(
-            cost_by_model(*args),
-            "by_model",
-            -F.col("call_count"),
-            "model", "provider", "cost_usd", "span_count", "avg_tokens_per_call",
-            "avg_cost_per_call", "avg_latency_ms", "call_count",
+            models, "by_model", [-F.col("call_count")], "model", "provider", "cost_usd", "span_count",
+            "avg_tokens_per_call", "avg_cost_per_call", "avg_latency_ms", "call_count",
         ),
-        listed(cost_by_date(*args), "by_date", F.col("date"), "date", "cost_usd"),
-        listed(cost_by_agent(*args), "by_agent", F.col("agent_name"), "agent_name", "cost_usd"),
-        month,
-        budgets,
+        listed(gap_filled(days, "date", "1 DAY", ["cost_usd"], keys), "by_date", [F.col("date")], "date", "cost_usd"),
+        listed(agents, "by_agent", [F.col("agent_name")], "agent_name", "cost_usd"),
+        counts.filter("kind = 'total'").select(*keys, zero("cost_month").alias("month_cost_usd")),
+        budgets.select(*keys, F.col("monthly_budget_usd").cast("double").alias("monthly_budget_usd")),
     )
+    if project_id is not None:
+        budget = page.agg(F.max("monthly_budget_usd").alias("monthly_budget_usd"))
+        return combined([], single(page.drop("monthly_budget_usd")), budget)
     # A budget alone (no spans) is no report.
     return page.filter(F.col("total_cost_usd").isNotNull()).fillna(0.0, ["month_cost_usd"])

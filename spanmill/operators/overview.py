@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanmill.functions.stats import combined, counted_percentile, gap_filled, js_round, top_k
 from spanmill.operators.errors import error_clusters
+from spanmill.operators.page import by_model, grouped_counts, listed, magnitude, mean, percentile_of_buckets, single
 from spanmill.operators.slices import hours_before, moment, report_keys, time_slice
 from spanmill.session import written
 
@@ -326,19 +327,73 @@ def model_share(usage: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
-_READ = (
-    "project_id", "trace_id", "span_id", "agent_name", "model", "provider", "input_tokens", "output_tokens",
-    "latency_ms", "cost_usd", "status", "error_message", "started_at",
-)
+#: Sets of dimensions that the overview counts by.
+_KINDS = {"total": [], "hour": ["hour"], "model": ["model", "provider"], "trace": ["agent_name", "trace_id"], "latency": ["bucket"]}
 
 
-def page_slice(spans: DataFrame, project_id, start, end, name: str) -> DataFrame:
-    """The rows and columns that the reports of a page read, written once.
+def _page_counts(spans: DataFrame, project_id, as_of, hours: int) -> DataFrame:
+    """Everything that the overview counts, from one scan of the month and both windows."""
+    mid, far = hours_before(as_of, hours), hours_before(as_of, 2 * hours)
+    first = F.date_trunc("month", moment(as_of))
+    now, before, month = _in(mid, as_of), _in(far, mid), F.col("started_at") >= first
+    error = F.expr(_IS_ERROR)
+    # Outside its window a dimension is null, so rows of the month alone combine to one.
+    inside = lambda value, when=now: F.when(when, value)
+    rows = time_slice(spans, project_id, F.least(far, first), as_of).select(
+        "project_id",
+        inside(F.date_trunc("hour", "started_at")).alias("hour"),
+        *[inside(F.col(c)).alias(c) for c in ("model", "provider")],
+        *[inside(F.col(c), now | before).alias(c) for c in ("agent_name", "trace_id")],
+        inside(magnitude(F.col("latency_ms"))).alias("bucket"),
+        now.alias("now"), before.alias("before"), month.alias("month"), error.alias("error"),
+        inside(F.col("cost_usd")).alias("cost"),
+        F.when(month, F.col("cost_usd")).alias("cost_month"),
+        *[inside(F.col(c)).alias(c) for c in ("latency_ms", "input_tokens", "output_tokens")],
+    )
+    return grouped_counts(
+        rows,
+        _KINDS,
+        F.count_if("now").alias("n"),
+        F.count_if(F.col("now") & F.col("error")).alias("errors"),
+        F.count_if("before").alias("n_before"),
+        F.count_if(F.col("before") & F.col("error")).alias("errors_before"),
+        F.count_if("month").alias("n_month"),
+        F.sum("cost").alias("cost"),
+        F.sum("cost_month").alias("cost_month"),
+        *[
+            agg(c).alias(name)
+            for c, total, n in (("latency_ms", "latency", "n_latency"), ("input_tokens", "tokens_in", "n_in"), ("output_tokens", "tokens_out", "n_out"))
+            for agg, name in ((F.sum, total), (F.count, n))
+        ],
+    )
 
-    The span table is scanned once; every report then reads the narrow copy in
-    the shared folder, which also outlives lost executors.
-    """
-    return written(time_slice(spans, project_id, start, end).select(*_READ), name)
+
+def _page_windows(counts: DataFrame) -> DataFrame:
+    """Traces and error spans of both windows of each project with a span in them."""
+    sums = [F.sum(c).alias(c) for c in ("n", "errors", "n_before", "errors_before")]
+    by_trace = counts.filter("kind = 'trace' AND n + n_before > 0").groupBy("project_id", "trace_id").agg(*sums)
+    return by_trace.groupBy("project_id").agg(
+        F.count_if(F.col("n") > 0).alias("total_requests"),
+        F.sum("errors").alias("error_count"),
+        F.count_if(F.col("n_before") > 0).alias("total_requests_prev"),
+        F.sum("errors_before").alias("error_count_prev"),
+    )
+
+
+def _page_agents(counts: DataFrame) -> DataFrame:
+    """The agents with most spans, from one row per agent and trace."""
+    agents = (
+        counts.filter("kind = 'trace' AND n > 0 AND agent_name IS NOT NULL")
+        .groupBy("project_id", "agent_name")
+        .agg(
+            F.sum("n").alias("_spans"),
+            F.count("*").alias("trace_count"),
+            F.count_if(F.col("errors") > 0).alias("error_count"),
+            js_round(mean("latency", "n_latency")).alias("avg_latency_ms"),
+            _zero_double(F.sum("cost")).alias("cost_usd"),
+        )
+    )
+    return top_k(agents, ["project_id"], [F.desc("_spans"), F.asc("agent_name")], 5)
 
 
 def overview(
@@ -346,59 +401,61 @@ def overview(
 ) -> DataFrame:
     """The whole page as one row per project: scalars, and short arrays of structs.
 
+    The stored spans are scanned three times: once to count by all dimensions of the page
+    (written: a row per hour, model, latency bucket, and trace of both windows), once for the
+    latencies next to the percentile, once for the failed spans of the window (written, narrow).
     Arrays are bounded by the reports behind them (hours of the window, 50 models,
-    5 agents, 5 errors, 10 clusters).
+    5 agents, 5 errors, 10 clusters). A project without spans in a part has nulls there; with
+    ``project_id`` there is always one row, with zeros and empty arrays.
     """
-    keys = report_keys(project_id)
-    start = hours_before(as_of, hours)
-    args = (project_id, start, as_of)
-    earliest = F.least(hours_before(as_of, 2 * hours), F.date_trunc("month", moment(as_of)))
-    spans = page_slice(spans, project_id, earliest, as_of, "overview-slice")
-
-    def listed(df: DataFrame, name: str, order: list[Column], *columns: str) -> DataFrame:
-        rows = F.collect_list(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *columns))
-        return df.groupBy(*keys).agg(
-            F.transform(
-                F.sort_array(rows), lambda r: F.struct(*[r[c].alias(c) for c in columns])
-            ).alias(name)
-        )
-
-    stats = summary_stats(spans, *args).select(
+    start, keys = hours_before(as_of, hours), ["project_id"]
+    window = time_slice(spans, project_id, start, as_of)
+    counts = written(_page_counts(spans, project_id, as_of, hours), "page-counts")
+    failed = window.filter(_IS_ERROR).select(
+        *keys, "trace_id", "span_id", "agent_name", "model", "status", "error_message", "started_at"
+    )
+    failed = written(failed, "page-errors")
+    totals = counts.filter("kind = 'total'")
+    stats = totals.filter("n > 0").select(
         *keys,
-        "total_cost_usd",
-        js_round(F.col("avg_latency_ms")).alias("avg_latency_ms"),
-        js_round(F.col("p95_latency_ms")).alias("p95_latency_ms"),
+        _zero_double(F.col("cost")).alias("total_cost_usd"),
+        js_round(F.coalesce(F.try_divide("latency", "n_latency"), F.lit(0.0))).alias("avg_latency_ms"),
+        F.when(F.col("n_latency") == 0, F.lit(0).cast("bigint")).alias("p95_latency_ms"),
     )
-    newest = -F.unix_micros("started_at")
-    return combined(
+    buckets = counts.filter("kind = 'latency' AND bucket IS NOT NULL").select(*keys, "bucket", "n")
+    p95 = percentile_of_buckets(buckets, window, "latency_ms", 0.95, "p95")
+    volume = counts.filter("kind = 'hour' AND n > 0").select(*keys, "hour", F.col("n").alias("total"), "errors")
+    stats = stats.join(p95.select(F.col("project_id").alias("_of"), "p95"), F.col("project_id").eqNullSafe(F.col("_of")), "left")
+    page = combined(
         keys,
-        prev_window_summary(spans, project_id, as_of, hours),
-        stats,
-        month_to_date_cost(spans, project_id, as_of),
-        active_traces(traces, project_id),
-        listed(hourly_volume(spans, *args), "hourly_volume", [F.col("hour")], "hour", "total", "errors"),
+        _page_windows(counts),
+        stats.withColumn("p95_latency_ms", F.coalesce("p95_latency_ms", js_round(F.col("p95")))).drop("_of", "p95"),
+        totals.filter("n_month > 0").select(*keys, _zero_double(F.col("cost_month")).alias("month_cost_usd")),
+        active_traces(traces if project_id is None else time_slice(traces, project_id)),
+        listed(gap_filled(volume, "hour", "1 HOUR", ["total", "errors"], keys), "hourly_volume", [F.col("hour")], "hour", "total", "errors"),
         listed(
-            model_usage(spans, *args),
+            top_k(by_model(counts), keys, [F.desc("calls"), F.asc("model")], 50),
             "model_usage",
             [-F.col("calls"), F.col("model")],
             "model", "calls", "cost_usd",
         ),
         listed(
-            top_agents(spans, *args).withColumn("avg_latency_ms", js_round(F.col("avg_latency_ms"))),
+            _page_agents(counts),
             "top_agents",
             [-F.col("trace_count"), F.col("agent_name")],
             "agent_name", "trace_count", "error_count", "avg_latency_ms", "cost_usd",
         ),
         listed(
-            recent_errors(spans, *args),
+            recent_errors(failed),
             "recent_errors",
-            [newest, F.col("trace_id")],
+            [-F.unix_micros("started_at"), F.col("trace_id")],
             "trace_id", "error_message", "agent_name", "model", "started_at",
         ),
         listed(
-            error_clusters(spans, *args),
+            error_clusters(failed),
             "error_clusters",
             [-F.col("span_count"), F.col("pattern")],
             "pattern", "count", "trace_ids", "models", "last_seen",
         ),
     )
+    return page if project_id is None else single(page)
