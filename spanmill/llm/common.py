@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -48,10 +50,28 @@ def file_bytes(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
+def _trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work`` that gives its freed memory back to the system when a task ends: a worker waits for
+    its next task beside the executor, whose stages without Python need that memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in the GNU library
+            if trim:
+                trim(0)
+
+    return run
+
+
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``work`` over all batches; also where a column's name has a dot, which Spark's own
     function takes for a field."""
     ship_package(df.sparkSession)
+    work = _trimmed(work)
     if not any("." in name for name in df.columns):
         return df.mapInArrow(work, schema)
     names = df.columns
