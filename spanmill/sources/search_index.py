@@ -1,14 +1,14 @@
 """Stored index of the fuzzy text search: postings and a dictionary of near spellings.
 
-Both tables lie below one root, by batch of indexed spans, project and day, so a search of a
-project and a time range opens only these folders, retention can drop them with the spans, and
-indexing a batch again replaces it.
+Both tables lie below one root, by batch of indexed spans, so indexing a batch again replaces it.
 
-* ``postings``: (term, field, span_id, trace_id, started_at), sorted by term.
-* ``spellings``: for each distinct term of a folder its deletion neighbourhood, (spelling, cut,
-  term, field): hashes of the term's first letters with up to two of them left out, sorted by
-  hash. Two words within k edits (a swap of neighbours is one) have a spelling in common with at
-  most k letters cut from either.
+* ``postings``: (term, field, span_id, trace_id, started_at), by project and day and sorted by
+  term, so a search of a project and a time range opens only these folders, and retention can drop
+  them with the spans.
+* ``spellings``: for each distinct term of a batch, whatever its projects and days, its deletion
+  neighbourhood, (spelling, cut, term, field): hashes of the term's first letters with up to two
+  of them left out, sorted by hash inside files. Two words within k edits (a swap of neighbours is
+  one) have a spelling in common with at most k letters cut from either.
 
 A search looks up the spellings of its terms, checks the edit distance of the few terms found,
 and reads their postings. The texts of spans are read for the rows of one page only.
@@ -32,37 +32,43 @@ VARIED = 8
 TEXT, NAME = 0, 1
 #: Up to so many terms found are filtered for at the scan of the postings; more are joined.
 PUSHED_TERMS = 1000
+#: Rows of a page of the spellings.
+PAGE_ROWS = 1000
 #: A page is read by its keys, so it has a largest size.
 LARGEST_PAGE = 100
 
 POSTINGS = "term string, field int, span_id string, trace_id string, started_at timestamp, ingest_batch int, project_id string, date date"
-SPELLINGS = "spelling bigint, cut int, term string, field int, ingest_batch int, project_id string, date date"
+SPELLINGS = "spelling bigint, cut int, term string, field int, ingest_batch int"
 
 
-def _without(text: Column, at: Column) -> Column:
-    return F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + 1, F.lit(VARIED)))
+def _cuts(cut: int, least: int) -> Column:
+    """Constant choices of ``cut`` letters: their places (0: none) and the length of term they need."""
+    places = [(*out, 0, 0)[:2] for out in combinations(range(1, VARIED + 1), cut)]
+    return F.array(*[F.struct(F.lit(max(least, a, b)).alias("need"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in places])
+
+
+def _without(head: Column, a: Column, b: Column) -> Column:
+    """``head`` without the letters at ``a`` and ``b`` (0: none), ``a < b`` if both are given."""
+    before, rest = F.substring(head, F.lit(1), a - 1), F.lit(VARIED)
+    one = F.concat(before, F.substring(head, a + 1, rest))
+    two = F.concat(before, F.substring(head, a + 1, b - a - 1), F.substring(head, b + 1, rest))
+    return F.when(a == 0, head).when(b == 0, one).otherwise(two)
 
 
 def spellings(term: Column) -> Column:
     """Array of (spelling, cut) of a term. A query allows one edit from 3 letters on and two from
-    6 on, so terms under 2 letters are never met with a cut, nor those under 4 with two."""
-    head = F.substring(term, 1, VARIED)
-    n = F.length(head)
-    places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-
-    def named(texts: Column, cut: int) -> Column:
-        return F.transform(F.array_distinct(texts), lambda t: F.struct(F.xxhash64(t).alias("spelling"), F.lit(cut).alias("cut")))
-
-    ones = F.transform(places, lambda i: _without(head, i))
-    twos = F.flatten(
-        F.transform(places, lambda i: F.transform(F.filter(places, lambda j: j < i), lambda j: _without(_without(head, i), j)))
-    )
-    nothing = F.array().cast("array<string>")
-    return F.concat(
-        named(F.array(head), 0),
-        named(F.when(F.length(term) >= 2, ones).otherwise(nothing), 1),
-        named(F.when(F.length(term) >= 4, twos).otherwise(nothing), 2),
-    )
+    6 on, so terms under 2 letters are never met with a cut, nor those under 4 with two.
+
+    One flat pass over constant choices of letters: choosing them row by row costs many times that.
+    """
+    head, n = F.substring(term, 1, VARIED), F.length(term)
+
+    def named(cut: int, least: int) -> Column:
+        fitting = F.filter(_cuts(cut, least), lambda c: c["need"] <= n)
+        hashes = F.array_distinct(F.transform(fitting, lambda c: F.xxhash64(_without(head, c["a"], c["b"]))))
+        return F.transform(hashes, lambda h: F.struct(h.alias("spelling"), F.lit(cut).alias("cut")))
+
+    return F.concat(named(0, 0), named(1, 2), named(2, 4))
 
 
 def _query_spellings(term: str, edits: int) -> list[str]:
@@ -82,27 +88,31 @@ def _terms(spans: DataFrame) -> DataFrame:
     words = F.array_distinct(F.concat(*[F.coalesce(tokens(F.col(c)), empty) for c in ("input", "output")]))
     name = F.when(F.col("name").isNotNull(), F.array("name")).otherwise(empty)
     both = F.concat(of(words, TEXT), of(name, NAME))
-    return spans.select(
-        "project_id", F.to_date("started_at").alias("date"), "span_id", "trace_id", "started_at", F.explode(both).alias("t")
-    ).select("project_id", "date", "t.term", "t.field", "span_id", "trace_id", "started_at")
+    # The outer form: the inner one makes Spark cut each text again in a filter.
+    rows = spans.select("project_id", "date", "span_id", "trace_id", "started_at", F.explode_outer(both).alias("t"))
+    return rows.filter(F.col("t").isNotNull()).select("project_id", "date", "t.term", "t.field", "span_id", "trace_id", "started_at")
 
 
 def index_spans(spans: DataFrame, root: str, batch_id: int = 0) -> None:
     """Write postings and spellings of ``spans`` as batch ``batch_id`` below ``root``.
 
-    Span ids are those of the stored table, each once. Only (project, day, term, id) is shuffled,
-    in ranges, so a common term or a dominant project is split over tasks. Null ids and spans
-    without text have no postings for it.
+    Span ids are those of the stored table, each once. Null ids and spans without text have no
+    postings for it. The spans are shuffled by project and day before they are cut into terms, which
+    are many times larger; the adaptive planner splits a dominant project or day over tasks. Of the
+    postings only distinct terms are shuffled, and each is spelled where it lies.
     """
-    found = _terms(spans.filter(F.col("span_id").isNotNull()))
+    named = spans.filter(F.col("span_id").isNotNull()).withColumn("date", F.to_date("started_at"))
+    texts = named.select("project_id", "date", "span_id", "trace_id", "started_at", "name", "input", "output")
+    found = _terms(texts.hint("rebalance", "project_id", "date"))
     order = ("project_id", "date", "field", "term", "span_id")
-    write_batch(found.repartitionByRange(*order).sortWithinPartitions(*order), f"{root}/postings", batch_id, "project_id", "date")
-    stored = spans.sparkSession.read.schema(POSTINGS).option("basePath", f"{root}/postings").parquet(f"{root}/postings")
-    terms = stored.filter(F.col("ingest_batch") == batch_id).select("project_id", "date", "term", "field").distinct()
-    spelled = terms.select("project_id", "date", "term", "field", F.explode(spellings(F.col("term"))).alias("s"))
-    spelled = spelled.select("project_id", "date", "s.spelling", "s.cut", "term", "field")
-    order = ("project_id", "date", "spelling", "term")
-    write_batch(spelled.repartitionByRange(*order).sortWithinPartitions(*order), f"{root}/spellings", batch_id, "project_id", "date")
+    write_batch(found.sortWithinPartitions(*order), f"{root}/postings", batch_id, "project_id", "date")
+    stored = _read(spans.sparkSession, f"{root}/postings", POSTINGS, None, None, None)
+    terms = stored.filter(F.col("ingest_batch") == batch_id).select("term", "field").distinct()
+    spelled = terms.select("term", "field", F.explode_outer(spellings(F.col("term"))).alias("s"))
+    spelled = spelled.select("s.spelling", "s.cut", "term", "field").sortWithinPartitions("spelling")
+    # Small pages: a lookup reads one page of a file for each spelling.
+    pages = spelled.write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS)
+    pages.parquet(f"{root}/spellings/ingest_batch={batch_id}")
 
 
 def _read(spark: SparkSession, path: str, schema: str, project_id, start, end) -> DataFrame:
@@ -116,10 +126,10 @@ def _read(spark: SparkSession, path: str, schema: str, project_id, start, end) -
     return rows
 
 
-def near_terms(spark: SparkSession, root: str, query: str, project_id: str | None = None, start=None, end=None) -> DataFrame:
+def near_terms(spark: SparkSession, root: str, query: str) -> DataFrame:
     """(term, field, word): indexed words near each query term, and names near the whole query
-    (field ``NAME``), of the folders of the project and days."""
-    table = _read(spark, f"{root}/spellings", SPELLINGS, project_id, start, end)
+    (field ``NAME``), of all projects and days."""
+    table = _read(spark, f"{root}/spellings", SPELLINGS, None, None, None)
     wanted = [(t, TEXT) for t in query_terms(query)] + [(query, NAME)]
     hits = []
     for term, field in wanted:
@@ -133,7 +143,7 @@ def near_terms(spark: SparkSession, root: str, query: str, project_id: str | Non
 
 def _postings(spark: SparkSession, root: str, query: str, project_id, start, end) -> DataFrame:
     """Postings of the words near the query, with the query's term."""
-    terms = near_terms(spark, root, query, project_id, start, end)
+    terms = near_terms(spark, root, query)
     rows = time_slice(_read(spark, f"{root}/postings", POSTINGS, project_id, start, end), None, start, end)
     rows = rows.withColumnRenamed("term", "word")
     few = terms.select("word", "field").distinct().limit(PUSHED_TERMS + 1).collect()

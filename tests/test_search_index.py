@@ -112,3 +112,18 @@ def test_empty_table(spark, stored, tmp_path):
     index.index_spans(spans.limit(0), str(tmp_path / "none"))
     assert index.search_count(spark, str(tmp_path / "none"), "weather").first().total == 0
     assert index.search_page(spans.limit(0), str(tmp_path / "none"), "weather").count() == 0
+
+
+def test_a_term_is_spelled_once_a_batch(spark, tmp_path):
+    # Ten days and three projects share their words, as a corpus does: no term is spelled again for each.
+    rows = [(f"s{k}", f"t{k}", f"p{k % 3}", "agent", "weather in paris", None, f"2024-01-{1 + k % 10:02d}") for k in range(60)]
+    spans = spark.createDataFrame(rows, SHAPE).withColumn("started_at", F.col("started_at_text").cast("timestamp"))
+    root = str(tmp_path / "index")
+    index.index_spans(spans, root)
+    stored = spark.read.parquet(f"{root}/spellings")
+    each = {r["term"]: r["count"] for r in stored.filter("cut = 0").groupBy("term").count().collect()}
+    assert each == {"weather": 1, "in": 1, "paris": 1, "agent": 1}
+    wanted = spark.range(1).select(F.size(index.spellings(F.lit("weather")))).first()[0]
+    assert stored.filter("term = 'weather'").count() == wanted
+    hits = index.found_spans(spark, root, "wether", "p1", "2024-01-02 00:00:00", "2024-01-02 00:00:00")
+    assert sorted(r["span_id"] for r in hits.collect()) == [f"s{k}" for k in range(60) if k % 3 == 1 and k % 10 == 1]
