@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from spanmill.functions.pii import scrub_pii
 from spanmill.functions.pricing import compute_cost
 from spanmill.functions.stats import top_k
-from spanmill.operators.alerts import COOLDOWN_MINUTES, apply_cooldown, metric_values
+from spanmill.operators.alerts import COOLDOWN_MINUTES, fire_with_cooldown, metric_values
 from spanmill.operators.enrich import first_agents, insert_spans_first_wins, resolve_agent_name, root_agents
 from spanmill.operators.validate import split_typed, typed_spans
 from spanmill.session import written
@@ -34,6 +33,8 @@ def micro_batch_writer(df: DataFrame, interval: str | None = FLUSH_INTERVAL) ->
 #: Tables of the ingest job that are looked up by key, with the rows they hold.
 SEEN_IDS, SEEN_SCHEMA = "seen_ids", "span_id string, arrival_seq bigint"
 ROOT_AGENTS, AGENT_SCHEMA = "root_agents", "trace_id string, agent_name string, arrival_seq bigint"
+#: What the cooldown reads of stored firings.
+FIRED_SCHEMA = "alert_id string, tick timestamp, ingest_batch int, date date"
 
 
 def _numbered(staged: DataFrame, batch_id: int) -> DataFrame:
@@ -237,15 +238,14 @@ def stream_alert_metrics(
     )
 
 
-def _firings_before(spark: SparkSession, root: str, batch_id: int, like: DataFrame, since) -> DataFrame:
-    """Firings of earlier micro-batches on the days from ``since`` on (a rerun must not see
-    its own); only folders of these days are read."""
+def _firings_before(spark: SparkSession, root: str, batch_id: int, since) -> DataFrame | None:
+    """Firings (alert_id, tick) of earlier micro-batches on the days from ``since`` on (a rerun must
+    not see its own); only folders of these days are read."""
     if not _exists(spark, root):
-        return like.limit(0)
-    schema = T.StructType([*like.schema.fields]).add("ingest_batch", T.IntegerType()).add("date", T.DateType())
-    stored = spark.read.schema(schema).option("basePath", root).parquet(root)
+        return None
+    stored = spark.read.schema(FIRED_SCHEMA).option("basePath", root).parquet(root)
     recent = stored.filter(F.col("ingest_batch") < batch_id).filter(F.col("date") >= F.to_date(since))
-    return recent.filter(F.col("tick") > since).select(*like.columns)
+    return recent.filter(F.col("tick") > since).select("alert_id", "tick")
 
 
 def _failures(traces: DataFrame, ticks: DataFrame, minutes: int) -> DataFrame:
@@ -287,20 +287,13 @@ def cooldown_micro_batch(
             span = F.make_dt_interval(mins=F.lit(window_minutes))
             traces = traces.filter((F.col("started_at") >= F.lit(low) - span) & (F.col("started_at") < F.lit(high)))
         values = values.unionByName(_failures(traces, metrics, window_minutes))
-    breaches = (
-        alerts.filter("is_active")
-        .join(values, ["project_id", "type"])
-        .filter(F.col("value") > F.col("threshold").cast("double"))
-        .select("alert_id", "project_id", "type", "tick", "value", "threshold")
-    )
-    first = metrics.agg(F.min("tick")).first()[0]
+    first, recent = metrics.agg(F.min("tick")).first()[0], None
     if first is not None:
         # Only firings that can still silence one of these breaches.
         since = F.lit(first) - F.make_dt_interval(mins=F.lit(minutes))
-        recent = _firings_before(spark, root, batch_id, breaches, since)
-        both = breaches.withColumn("_stored", F.lit(False)).unionByName(recent.withColumn("_stored", F.lit(True)))
-        breaches = apply_cooldown(both, "alert_id", "tick", minutes).filter("NOT _stored").drop("_stored")
-    write_batch(breaches.withColumn("date", F.to_date("tick")), root, batch_id, "date")
+        recent = _firings_before(spark, root, batch_id, since)
+    fired = fire_with_cooldown(alerts, values, minutes, recent)
+    write_batch(fired.withColumn("date", F.to_date("tick")), root, batch_id, "date")
     _remove(spark, staged)
 
 
