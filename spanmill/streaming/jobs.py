@@ -212,27 +212,17 @@ def stream_alert_metrics(
 ) -> DataFrame:
     """Error rate, cost and p95 latency per project in tumbling windows.
 
-    Two aggregations: equal latencies are counted first, so a dominant project is
-    spread over many tasks and the percentile sees distinct values only.
+    Equal latencies are counted before the shuffle, so a dominant project costs one row per task and
+    window. The state is one row per project and window, which holds the counts of its latencies.
     """
-    window = F.window("started_at", f"{minutes} minutes").alias("w")
-    counted = (
-        _watermarked(spans, "started_at", watermark)
-        .groupBy("project_id", window, "latency_ms")
-        .agg(
-            F.count("*").alias("_n"),
-            F.count_if(F.col("status") == "error").alias("_errors"),
-            F.sum("cost_usd").alias("_cost"),
-        )
-    )
+    p95 = F.percentile("latency_ms", F.lit(0.95))
     return (
-        counted.groupBy("project_id", "w")
+        _watermarked(spans, "started_at", watermark)
+        .groupBy("project_id", F.window("started_at", f"{minutes} minutes").alias("w"))
         .agg(
-            (F.sum("_errors") * 100.0 / F.sum("_n")).alias("error_rate"),
-            F.coalesce(F.sum("_cost"), F.lit(0.0)).alias("cost_spike"),
-            F.coalesce(F.percentile("latency_ms", F.lit(0.95), F.col("_n")), F.lit(0.0)).alias(
-                "latency_p95"
-            ),
+            (F.count_if(F.col("status") == "error") * 100.0 / F.count("*")).alias("error_rate"),
+            F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_spike"),
+            F.coalesce(p95, F.lit(0.0)).alias("latency_p95"),
         )
         .select("project_id", F.col("w.end").alias("tick"), "error_rate", "cost_spike", "latency_p95")
     )

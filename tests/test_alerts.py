@@ -199,3 +199,28 @@ def test_firings_from_series_equal_those_from_breaches(spark):
     want = alerts.apply_cooldown(both, "alert_id", "tick").filter("new").join(stored, ["alert_id", "tick"], "left_anti").select(*columns)
     got = alerts.fire_with_cooldown(rules, values, stored=stored)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_firings_stay_where_their_chunk_is_folded(spark):
+    from decimal import Decimal as D
+
+    rng = random.Random(11)
+    n = 2 * alerts.CHUNK_ALERTS + 30
+    points = [(m, rng.choice([None, float("nan"), *map(float, range(9))])) for m in range(0, 600, 5)]
+    values = spark.createDataFrame([("p", at(m), "failure", v) for m, v in points], "project_id string, tick timestamp, type string, value double")
+    limits = [None if k % 97 == 0 else D(rng.randrange(9)) + D(k) / 1000 for k in range(n)]
+    rules = spark.createDataFrame(
+        [(f"a{k}", "p", "failure", limit, True) for k, limit in enumerate(limits)],
+        "alert_id string, project_id string, type string, threshold decimal(10,4), is_active boolean",
+    )
+    fired = alerts.fire_with_cooldown(rules, values)
+    got: dict[str, list[int]] = {}
+    for r in fired.collect():
+        got.setdefault(r["alert_id"], []).append(int((r["tick"] - BASE).total_seconds() // 60))
+    # A value that is not a number is above every limit, as in Spark's comparison.
+    above = lambda v, limit: v is not None and limit is not None and not v <= float(limit)
+    want = {f"a{k}": greedy([m for m, v in points if above(v, limit)]) for k, limit in enumerate(limits)}
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    # Firings, as many as alerts times ticks, meet no join, and a chunk is bounded.
+    after, found, before = fired._jdf.queryExecution().optimizedPlan().toString().partition("MapInArrow")
+    assert found and "Join" not in after and "Aggregate" not in after and "Join" in before

@@ -216,3 +216,20 @@ spark.stop()
 def test_shared_folder_is_the_configured_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert work_path(spark, "x").startswith(shared_dir(spark))
+
+
+def test_metrics_keep_one_state_row_per_project_and_window(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    rows = [("pq"[i % 2], "error" if i % 5 == 0 else "success", None if i % 11 == 0 else i, 0.5, base + dt.timedelta(seconds=3 * i)) for i in range(800)]
+    spans = spark.createDataFrame(rows, "project_id string, status string, latency_ms int, cost_usd double, started_at timestamp")
+    source, out = str(tmp_path / "spans"), str(tmp_path / "out")
+    spans.write.parquet(source)
+    metrics = jobs.stream_alert_metrics(spark.readStream.schema(spans.schema).parquet(source))
+    query = metrics.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out, format="parquet")
+    query.awaitTermination()
+    states = [p["stateOperators"] for p in query.recentProgress]
+    # 40 minutes make 8 windows of two projects, whatever the number of distinct latencies.
+    assert max(sum(s["numRowsTotal"] for s in ops) for ops in states) == 16
+    closed = jobs.stream_alert_metrics(spans).filter(F.col("tick") <= base + dt.timedelta(minutes=25))
+    got = sorted(map(str, spark.read.schema(metrics.schema).parquet(out).collect()))
+    assert got == sorted(map(str, closed.collect())) and len(got) == 10
