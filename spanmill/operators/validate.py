@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,17 +90,22 @@ def _checks(span: Column, edge: bool, allow_offset: bool) -> list[tuple[str, Col
     return checks
 
 
+def _verdicts(span: Column, edge: bool, allow_offset: bool) -> list[tuple[str, Column]]:
+    """The checks, false where one has no answer."""
+    return [(name, F.coalesce(ok, F.lit(False))) for name, ok in _checks(span, edge, allow_offset)]
+
+
+def _failed(verdicts: list[tuple[str, Column]]) -> Column:
+    return F.concat_ws(",", *[F.when(~ok, F.lit(name)) for name, ok in verdicts])
+
+
 def failed_checks(span: Column, edge: bool = False, allow_offset: bool = False) -> Column:
     """Names of the wire fields of a raw span that break a rule, separated by commas.
 
     Text, not an array: dropping nulls from an array takes a higher-order
     function, and all checks inside one would run without code generation.
     """
-    named = [
-        F.when(~F.coalesce(ok, F.lit(False)), F.lit(name))
-        for name, ok in _checks(span, edge, allow_offset)
-    ]
-    return F.concat_ws(",", *named)
+    return _failed(_verdicts(span, edge, allow_offset))
 
 
 def span_columns(span: Column, edge: bool = False) -> list[Column]:
@@ -138,12 +145,17 @@ def typed_spans(raw: DataFrame, allow_offset: bool = False) -> DataFrame:
 
     Rejects also get their ``payload``. Write this once where both the valid and
     the rejected rows are needed.
+
+    Reasons and payload use each check, side by side in one projection: what is used twice there
+    Spark generates as a function of its own. In one method all checks together are more than the
+    JVM compiles (8000 bytes), and that method is then interpreted for every span.
     """
     span = F.col("span")
     carried = [c for c in raw.columns if c != "span"]
-    checked = check_spans(raw, allow_offset)
-    payload = F.when(F.col("reasons") != "", F.to_json(span))
-    return checked.select(*carried, *span_columns(span), "reasons", payload.alias("payload"))
+    verdicts = _verdicts(span, False, allow_offset)
+    valid = reduce(lambda a, b: a & b, [ok for _, ok in verdicts])
+    payload = F.when(~valid, F.to_json(span))
+    return raw.select(*carried, *span_columns(span), _failed(verdicts).alias("reasons"), payload.alias("payload"))
 
 
 def split_typed(typed: DataFrame) -> tuple[DataFrame, DataFrame]:

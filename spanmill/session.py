@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,23 @@ def build_session(master: str | None = None, app: str = "spanmill", **conf) -> S
     return builder.getOrCreate()
 
 
+#: The JVM interprets a method of more bytes than this instead of compiling it.
+COMPILED_BYTES = 8000
+
+
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """Inside, a chain of operators whose generated method the JVM would not compile runs operator by
+    operator, in methods that it does."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(COMPILED_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables, seen by every executor.
 

@@ -13,7 +13,7 @@ from spanmill.functions.stats import top_k
 from spanmill.operators.alerts import COOLDOWN_MINUTES, fire_with_cooldown, metric_values
 from spanmill.operators.enrich import first_agents, insert_spans_first_wins, resolve_agent_name, root_agents
 from spanmill.operators.validate import split_typed, typed_spans
-from spanmill.session import written
+from spanmill.session import small_methods, written
 from spanmill.sources import key_runs
 from spanmill.sources.tables import read_traces, write_batch, write_trace_partials
 
@@ -82,7 +82,8 @@ def ingest_micro_batch(raw: DataFrame, batch_id: int, root: str, allow_offset: b
         raw = raw.withColumn("_row", F.monotonically_increasing_id())
     typed = scrub_pii(typed_spans(raw, allow_offset), ("input", "output", "payload"))
     staged = f"{root}/staged/ingest_batch={batch_id}"
-    typed.write.mode("overwrite").parquet(staged)
+    with small_methods(spark):
+        typed.write.mode("overwrite").parquet(staged)
     rows = spark.read.schema(typed.schema).parquet(staged)
     rows = rows if counted else _numbered(rows, batch_id)
     valid, rejected = split_typed(rows)

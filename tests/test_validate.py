@@ -1,6 +1,10 @@
 import json
+import re
+
+import pytest
 
 from spanmill.operators import validate
+from spanmill.session import COMPILED_BYTES, small_methods
 from spanmill.sources import batches
 
 GOOD = {
@@ -111,3 +115,31 @@ def test_project_match(spark):
     body = spark.createDataFrame([(json.dumps({"spans": spans}),)], "value string")
     row = validate.check_project_match(batches.envelopes(body), GOOD["projectId"]).first()
     assert (row["matches"], row["offending_span_id"]) == (False, "x")
+
+
+def test_reasons_and_payload_of_typed_rows(spark):
+    spans = [{k: v for k, v in {**GOOD, **c}.items() if v != "absent"} for c, _ in CASES]
+    body = spark.createDataFrame([(json.dumps({"spans": spans}),)], "value string")
+    rows = validate.typed_spans(batches.explode_spans(batches.envelopes(body))).orderBy("position").collect()
+    for span, (_, expected), row in zip(spans, CASES, rows, strict=True):
+        assert row["reasons"] == ",".join(expected)
+        assert (row["payload"] is None) == (not expected), span
+        if expected:
+            assert json.loads(row["payload"])["projectId"] == span["projectId"]
+
+
+def test_the_jvm_compiles_the_checks(spark, tmp_path, capsys):
+    """No generated method of the checks has more than the 8000 bytes that the JVM compiles."""
+    (tmp_path / "a.json").write_text(json.dumps({"spans": [GOOD]}) + "\n")
+    validate.typed_spans(batches.read_span_batches(spark, str(tmp_path))).explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= COMPILED_BYTES
+
+
+def test_small_methods_only_inside(spark):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    with pytest.raises(ValueError), small_methods(spark):
+        assert spark.conf.get(name) == str(COMPILED_BYTES)
+        raise ValueError
+    assert spark.conf.get(name) == before
