@@ -104,7 +104,8 @@ def lookup(spark: SparkSession, root: str, key: str, schema: str, keys: DataFram
     """
     names = [c.strip().split()[0] for c in schema.split(",")]
     runs = [r for r in live_runs(spark, root) if r[0] < before]
-    nothing = spark.createDataFrame([], schema)
+    # A relation that the planner knows to be empty, so that joins with it vanish.
+    nothing = spark.range(0).select(*[F.lit(None).cast(c.strip().split()[1]).alias(c.strip().split()[0]) for c in schema.split(",")]).limit(0)
     if not runs:
         return nothing
     wanted = written(keys.select(key).filter(F.col(key).isNotNull()).distinct(), "wanted-keys")

@@ -41,7 +41,9 @@ def _numbered(staged: DataFrame, batch_id: int) -> DataFrame:
     """Dense numbers within the batch, above those of all batches before.
 
     The row numbers of the tasks are made dense by the sizes of the tasks before: one row per
-    task, so neither the number of tasks nor of rows can run into the next batch.
+    task, so neither the number of tasks nor of rows can run into the next batch. These few rows are
+    broadcast: the planner takes their size from that of the spans, and beyond its threshold it would
+    shuffle and sort all spans by the number of their task, a partition for each task.
     """
     task = F.shiftright("_row", 33)
     before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
@@ -50,7 +52,7 @@ def _numbered(staged: DataFrame, batch_id: int) -> DataFrame:
     inside = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
     number = F.lit(batch_id).cast("bigint") * (1 << 40) + F.col("_before") + inside
     return (
-        staged.withColumn("_task", task).join(offsets, "_task")
+        staged.withColumn("_task", task).join(F.broadcast(offsets), "_task")
         .withColumn("arrival_seq", number).drop("_task", "_before", "_row")
     )
 
@@ -94,14 +96,16 @@ def ingest_micro_batch(raw: DataFrame, batch_id: int, root: str, allow_offset: b
     seen = key_runs.lookup(spark, seen_ids, "span_id", SEEN_SCHEMA, valid.select("span_id"), batch_id)
     # At most the ids of this batch; written, so that the planner knows their size.
     seen = written(seen.select("span_id").distinct(), "seen-ids")
-    first = insert_spans_first_wins(compute_cost(valid.join(seen, "span_id", "left_anti")))
+    first = insert_spans_first_wins(valid.join(seen, "span_id", "left_anti"))
+    # Prices are looked up only where the cost is stored, not by every step that reads ids and names.
+    priced = compute_cost(first)
     own_agents = root_agents(first)
     open_traces = first.filter(F.col("parent_span_id").isNotNull()).select("trace_id")
     earlier = key_runs.lookup(spark, root_agent_rows, "trace_id", AGENT_SCHEMA, open_traces, batch_id)
     agents = first_agents(own_agents.unionByName(earlier))
-    named = resolve_agent_name(first, agents).withColumn("date", F.to_date("started_at"))
+    named = resolve_agent_name(priced, agents).withColumn("date", F.to_date("started_at"))
     write_batch(named.hint("rebalance", "project_id", "date"), f"{root}/spans", batch_id, "project_id", "date")
-    write_trace_partials(first, f"{root}/trace_partials", batch_id)
+    write_trace_partials(priced, f"{root}/trace_partials", batch_id)
     key_runs.record(first.select("span_id", "arrival_seq"), seen_ids, "span_id", batch_id)
     key_runs.record(own_agents, root_agent_rows, "trace_id", batch_id)
     _remove(spark, staged)

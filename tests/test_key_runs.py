@@ -113,3 +113,10 @@ def test_duplicate_rules_without_moving_texts(spark, tmp_path, monkeypatch, most
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     once = spans.dropDuplicates(["span_id"])
     assert enrich.insert_spans_first_wins(once) is once
+
+
+def test_lookup_in_an_empty_table_is_known_to_be_empty(spark, tmp_path):
+    keys = spark.createDataFrame([("a",)], "k string")
+    nothing = key_runs.lookup(spark, str(tmp_path / "runs"), "k", SCHEMA, keys, 0)
+    assert nothing.dtypes == [("k", "string"), ("v", "bigint")] and nothing.count() == 0
+    assert "LocalRelation <empty>" in keys.join(nothing, "k")._jdf.queryExecution().optimizedPlan().toString()

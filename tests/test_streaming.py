@@ -93,6 +93,17 @@ def test_sequence_numbers_of_many_tasks(spark):
     assert max(numbers[0]) < min(numbers[1])
 
 
+def test_numbers_reach_the_spans_without_a_shuffle(spark):
+    """The sizes of the tasks are broadcast, also if the spans are beyond the planner's threshold."""
+    rows = spark.range(0, 600, 1, 300).withColumn("_row", F.monotonically_increasing_id())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = jobs._numbered(rows, 1)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_failures_fire_in_the_stream(spark, tmp_path):
     from decimal import Decimal as D
 
